@@ -2,20 +2,54 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mercadia.llm import embedding_dedup, jaccard_join
 from mercadia.llm._common import table
 from mercadia.llm.decontamination import decontaminate
 from mercadia.llm.mixing import mix
 from mercadia.llm.secrets import secrets
+from mercadia.llm.surrogates import pseudonymise
+from mercadia.llm.token_counts import token_counts, vocabulary
+from mercadia.llm.toxicity import toxicity
+from mercadia.llm.warc import archive_pages
+
+#: A folder of public vocabularies; the file's pieces and scores serve as the unigram vocabulary.
+VOCABULARY = os.environ.get("MERCADIA_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = archive_pages(table(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary(VOCABULARY))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_key")
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents")).drop("text_md5")
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(table(spark, sf_dir, "documents"))
 
@@ -24,6 +58,37 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("sources")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op7_decontaminate, op9_secrets, op10_mix)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_warc, op4_embeddings, op5_surrogates, op6_token_counts, op7_decontaminate, op8_jaccard, op9_secrets, op10_mix)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+        m AS (SELECT body, max(page_id) AS last FROM p WHERE octet_length(body) >= 1000 GROUP BY body)
+        SELECT p.page_id, CAST(octet_length(p.body) AS BIGINT) AS payload_bytes, sha1(p.body) AS payload_digest,
+               CASE WHEN m.last <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN m.last <> p.page_id THEN m.last END AS refers_to
+        FROM p LEFT JOIN m ON p.body = m.body
+    """,
+    "op7_decontaminate": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+        ), b AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+        ), iw AS (
+            SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, array_to_string(w[k : k + 9], ' ') AS win, least(len(w), 10) AS n
+            FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM b WHERE len(w) > 0)
+        ), dw AS (
+            SELECT doc_id, k, n, array_to_string(w[k : k + n - 1], ' ') AS win
+            FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM iw))
+        ), h AS (
+            SELECT doc_id, k, iw.n, item FROM dw JOIN iw ON dw.win = iw.win AND dw.n = iw.n
+        ), hits AS (
+            SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM h) GROUP BY doc_id
+        ), ids AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id
+        )
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN ids USING (doc_id)
+    """,
+}
