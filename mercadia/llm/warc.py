@@ -194,7 +194,9 @@ def normalise(revisits: DataFrame, folder: str, out_folder: str) -> DataFrame:
         index.close()
         return pd.DataFrame({"archive": [name], "records": [no + 1], "bytes": [out.at]})
 
-    return stored(revisits.select("archive", "no", "refers_to_id").groupBy("archive").applyInPandas(one, "archive string, records long, bytes long"), "archives")
+    # a fixed number of partitions: by their bytes these few rows would be merged into one task
+    archives = max(1, revisits.select("archive").distinct().count())
+    return stored(revisits.select("archive", "no", "refers_to_id").repartition(archives, "archive").groupBy("archive").applyInPandas(one, "archive string, records long, bytes long"), "archives")
 
 
 def read_back(archives: DataFrame, folder: str) -> DataFrame:
