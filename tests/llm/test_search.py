@@ -55,7 +55,7 @@ def brute(texts, n=5, threshold=0.8):
 @pytest.mark.parametrize("block", [256, 3])
 def test_jaccard(spark, sf, block, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
-    docs = table(spark, sf, "documents").limit(120)
+    docs = table(spark, sf, "documents").limit(60)
     base = docs.select("text").first().text.split()
     rng = np.random.default_rng(5)
     more = [(10_000 + i, " ".join(w for w in base[:80] if rng.random() > i % 7 * 0.01)) for i in range(40)] + [(20_000 + i, " ".join(base[:60])) for i in range(5)] + [(30_000, ""), (30_001, None), (30_002, "%%"), (30_003, "%%"), (30_004, "one two"), (30_005, "One two!")]
@@ -72,10 +72,10 @@ def test_jaccard(spark, sf, block, monkeypatch):
 def test_jaccard_cases(spark):
     docs = documents(spark)
     got = {(r.doc_id, r.n_links, r.component_id) for r in jaccard_join.near_duplicates(docs).collect()}
-    assert {(1, 3, 1), (2, 3, 1), (3, 0, 3), (4, 0, 4), (5, 0, 5), (6, 0, 6), (7, 3, 1), (None, 0, None)} <= got
+    assert {(1, 5, 1), (2, 5, 1), (3, 0, 3), (4, 0, 4), (5, 0, 5), (6, 0, 6), (7, 5, 1), (None, 0, None)} <= got
     kept = jaccard_join.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 4, 5, 6, 8, 9, 10]
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 4, 5, 6, 10]
     # equal rows, id included: one stays
     twice = docs.where("doc_id = 2")
     assert jaccard_join.keep_one(twice).count() == 1

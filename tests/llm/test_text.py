@@ -113,8 +113,8 @@ def test_token_counts_equal_the_tokenizer(spark, sf):
     full = [("<unk>", 0.0)] + [(f"<0x{b:02X}>", 0.0) for b in range(256)] + pieces
     tokenizer = Tokenizer(models.Unigram(full, unk_id=0, byte_fallback=True))
     tokenizer.normalizer = normalizers.Sequence([normalizers.Prepend("▁"), normalizers.Replace(" ", "▁")])
-    docs = table(spark, sf, "documents").select("doc_id", "text").unionByName(documents(spark).select("doc_id", "text"))
-    docs = docs.unionByName(spark.createDataFrame([(90, "  two  blanks "), (91, "▁mark ▁"), (92, "日本語 \U0001f600\U0001f600 x\ty\n\nz"), (93, " "), (94, "aaaaaaaaaaaaaaaaaaaaaaaa" * 40)], "doc_id long, text string"))
+    docs = table(spark, sf, "documents").select("doc_id", "text").unionByName(documents(spark).select((F.col("doc_id") + 10**6).alias("doc_id"), "text"))
+    docs = docs.unionByName(spark.createDataFrame([(90 + 10**6, "  two  blanks "), (91 + 10**6, "▁mark ▁"), (92 + 10**6, "日本語 \U0001f600\U0001f600 x\ty\n\nz"), (93 + 10**6, " "), (94 + 10**6, "aaaaaaaaaaaaaaaaaaaaaaaa" * 40)], "doc_id long, text string"))
     got = {}
     for r in docs.join(token_counts.token_counts(docs, pieces).distinct(), "doc_id").collect():
         got.setdefault(r.doc_id, (r.text, r.n_tokens))
