@@ -12,6 +12,7 @@ from mercadia.llm._common import table
 from mercadia.llm.decontamination import decontaminate
 from mercadia.llm.mixing import mix
 from mercadia.llm.secrets import secrets
+from mercadia.llm.substring_dedup import remove_repeats
 from mercadia.llm.surrogates import pseudonymise
 from mercadia.llm.token_counts import token_counts, vocabulary
 from mercadia.llm.toxicity import toxicity
@@ -30,6 +31,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("ranges")
+
+
 def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -58,7 +63,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("sources")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_warc, op4_embeddings, op5_surrogates, op6_token_counts, op7_decontaminate, op8_jaccard, op9_secrets, op10_mix)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_repeats, op4_embeddings, op5_surrogates, op6_token_counts, op7_decontaminate, op8_jaccard, op9_secrets, op10_mix)}
 
 ORACLES: dict[str, str] = {
     "op2_warc": """
