@@ -28,9 +28,11 @@ from pyspark.sql import functions as F
 from mercadia.llm._common import checked_broadcast, row_key, stored
 
 KEY = "surrogates"
-EMAIL = r"[\p{L}\p{N}._%+-]*[\p{L}\p{N}]@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)"
-CARD = r"(?<![\p{L}\p{N}])\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}])"
+#: Rounds of drawing again after which a form has too few surrogates for its entities.
+MAX_ATTEMPTS = 64
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+IP = r"(?<![\d.])(?=\d)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)"
+CARD = r"(?<![\p{L}\p{N}])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7})(?![\p{L}\p{N}])"
 PHONE = r"(?<![\p{L}\p{N}])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)|\d{3}(?=[ .-]))[ .-]?\d{3}[ .-]\d{4}(?![\p{L}\p{N}])"
 MALE, FEMALE = ("Mr", "Herr", "Sr", "Señor", "Monsieur", "Г-н", "Κύριος"), ("Mrs", "Ms", "Miss", "Frau", "Sra", "Señora", "Mme", "Madame", "Г-жа", "Κυρία")
 TITLES = "|".join((*MALE, *FEMALE))
@@ -111,49 +113,72 @@ def _pick(words: list[str], number: Column) -> Column:
     return F.element_at(F.array(*[F.lit(w) for w in words]), number % len(words) + 1)
 
 
-def _spelt(s: Column, stream: Column, letters: bool) -> Column:
-    """s with each digit, and each letter if so asked, replaced from the stream; case kept."""
+def _spelt(s: Column, stream: Column) -> Column:
+    """s with each digit and letter replaced from the stream; case kept."""
     low, up = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
     def one(c: Column, i: Column) -> Column:
         b = _byte(stream, i)
-        out = F.when(c.rlike("[0-9]"), (b % 10).cast("string"))
-        if letters:
-            out = out.when(c.rlike(r"\p{Lu}"), F.substring(F.lit(up), b % 26 + 1, F.lit(1))).when(c.rlike(r"\p{L}"), F.substring(F.lit(low), b % 26 + 1, F.lit(1)))
-        return out.otherwise(c)
+        return (
+            F.when(c.rlike("[0-9]"), (b % 10).cast("string"))
+            .when(c.rlike(r"\p{Lu}"), F.substring(F.lit(up), b % 26 + 1, F.lit(1)))
+            .when(c.rlike(r"\p{L}"), F.substring(F.lit(low), b % 26 + 1, F.lit(1)))
+            .otherwise(c)
+        )
 
     return F.array_join(F.transform(F.split(s, ""), one), "")
 
 
-def surrogate(m: Column, kind: Column, key: str, attempt: Column) -> Column:
-    """The replacement of entity m, of the same kind and layout."""
-    form = canonical(m, kind)
-    stream = _stream(key, kind, form, attempt)
-    local, host = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
-    email = F.concat(_spelt(local, stream, True), F.lit("@"), _spelt(F.substring_index(host, ".", 1), F.reverse(stream), True), F.lit(".example."), F.substring_index(host, ".", -1))
-    ip = F.concat_ws(".", *[(_byte(stream, i) % (223 if i == 0 else 256) + (1 if i == 0 else 0)).cast("string") for i in range(4)])
+def _laid(m: Column, digits: Column) -> Column:
+    """m with its last digits taken from `digits`, by their place from the right."""
 
-    def laid(digits: Column) -> Column:
-        """m with its last digits taken from `digits`, by their place from the right."""
+    def one(c: Column, i: Column) -> Column:
+        right = F.length(_digits(F.substring(m, i + 1, F.length(m))))
+        return F.when(c.rlike("[0-9]") & (right <= F.length(digits)), F.substring(digits, F.length(digits) - right + 1, F.lit(1))).otherwise(c)
 
-        def one(c: Column, i: Column) -> Column:
-            right = F.length(_digits(F.substring(m, i + 1, F.length(m))))
-            return F.when(c.rlike("[0-9]") & (right <= F.length(digits)), F.substring(digits, F.length(digits) - right + 1, F.lit(1))).otherwise(c)
+    return F.array_join(F.transform(F.split(m, ""), one), "")
 
-        return F.array_join(F.transform(F.split(m, ""), one), "")
 
-    numbers = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(18)), lambda i: (_byte(stream, i) % 10).cast("string")), "")
-    phone = laid(F.substring(numbers, 1, 10))
-    body = F.substring(numbers, F.lit(1), F.length(_digits(m)) - 1)
-    card = laid(F.concat(body, ((10 - _luhn(body, 1) % 10) % 10).cast("string")))
+def _name(e: Column) -> Column:
+    stream, form, m = e["stream"], e["form"], e["m"]
     title, rest = F.regexp_extract(m, rf"^(?:{TITLES})\.? ", 0), F.regexp_replace(m, rf"^(?:{TITLES})\.? ", "")
-    name = F.lit(None).cast("string")
+    out = F.lit(None).cast("string")
     for script, sign in (("greek", r"\p{IsGreek}"), ("cyrillic", r"\p{IsCyrillic}"), ("latin", r"\p{L}")):
-        syllables = SYLLABLES[script]
-        family = F.initcap(F.concat(*[_pick(syllables, _byte(stream, i)) for i in (1, 2, 3)]))
+        # one syllable more for every three attempts, so that there is always room
+        family = F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), 3 + F.floor(e["attempt"] / 3).cast("int")), lambda i: _pick(SYLLABLES[script], _byte(stream, i))), ""))
         given = F.when(form.startswith("f "), _pick(GIVEN[script]["f"], _byte(stream, 0))).otherwise(_pick(GIVEN[script]["m"], _byte(stream, 0)))
-        name = F.coalesce(name, F.when(rest.rlike(sign), F.concat(title, F.when(rest.contains(" "), F.concat(given, F.lit(" "), family)).otherwise(family))))
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).otherwise(name)
+        out = F.coalesce(out, F.when(rest.rlike(sign), F.concat(title, F.when(rest.contains(" "), F.concat(given, F.lit(" "), family)).otherwise(family))))
+    return out
+
+
+def drawn(matches: Column, key: str, attempt) -> Column:
+    """array<struct<m, kind, form, new>>: the surrogates of an array of matches; new is m where kind is null.
+
+    attempt: a function of kind and form. The steps are transforms of their own, so that each is worked out
+    once an entity: an expression that a lambda repeats would be worked out for every character.
+    """
+    step = lambda a, **new: F.transform(a, lambda e: F.struct(*[e[c].alias(c) for c in held], *[f(e).alias(c) for c, f in new.items()]))
+    out = F.transform(matches, lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
+    held = ["m", "kind"]
+    for new in (
+        {"form": lambda e: canonical(e["m"], e["kind"])},
+        {"attempt": lambda e: attempt(e["kind"], e["form"])},
+        {"stream": lambda e: _stream(key, e["kind"], e["form"], e["attempt"])},
+        {"numbers": lambda e: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(18)), lambda i: (_byte(e["stream"], i) % 10).cast("string")), "")},
+        {"body": lambda e: F.when(e["kind"] == "card", F.substring(e["numbers"], F.lit(1), F.length(_digits(e["m"])) - 1)).otherwise(F.substring(e["numbers"], 1, 10))},
+        {"digits": lambda e: F.when(e["kind"] == "card", F.concat(e["body"], ((10 - _luhn(e["body"], 1) % 10) % 10).cast("string"))).otherwise(e["body"])},
+    ):
+        out = step(out, **new)
+        held += new
+
+    def new(e: Column) -> Column:
+        m, stream = e["m"], e["stream"]
+        local, host = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
+        email = F.concat(_spelt(local, stream), F.lit("@"), _spelt(F.substring_index(host, ".", 1), F.reverse(stream)), F.lit(".example."), F.substring_index(host, ".", -1))
+        ip = F.concat_ws(".", *[(_byte(stream, i) % (223 if i == 0 else 256) + (1 if i == 0 else 0)).cast("string") for i in range(4)])
+        return F.when(e["kind"].isNull(), m).when(e["kind"] == "email", email).when(e["kind"] == "ip", ip).when(e["kind"] == "name", _name(e)).otherwise(_laid(m, e["digits"]))
+
+    return F.transform(out, lambda e: F.struct(e["m"].alias("m"), e["kind"].alias("kind"), e["form"].alias("form"), new(e).alias("new")))
 
 
 def entities(docs: DataFrame) -> DataFrame:
@@ -167,18 +192,19 @@ def entities(docs: DataFrame) -> DataFrame:
 def redrawn(found: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, form, attempt) of the entities whose first surrogate is another's, or is itself an entity."""
     known = stored(found.groupBy("kind", "form").agg(F.min("example").alias("example")), "forms")
-    drawn = known.withColumn("attempt", F.lit(0))
-    while True:
-        new = surrogate(F.col("example"), F.col("kind"), key, F.col("attempt"))
-        drawn = stored(drawn.select("kind", "form", "example", "attempt", canonical(new, F.col("kind")).alias("new")), "drawn")
+    tried = known.withColumn("attempt", F.lit(0))
+    for _ in range(MAX_ATTEMPTS):
+        tried = tried.withColumn("one", drawn(F.array("example"), key, lambda kind, form: F.col("attempt"))[0])
+        tried = stored(tried.select("kind", "form", "example", "attempt", canonical(F.col("one.new"), F.col("kind")).alias("new")), "drawn")
         # of those that share a surrogate the one that drew most often, then the first, keeps it
-        shared = drawn.groupBy("kind", "new").agg(F.count(F.lit(1)).alias("n"), F.max_by("form", F.struct("attempt", F.expr("-xxhash64(form)"), "form")).alias("keeper")).where("n > 1")
-        taken = drawn.join(known.select("kind", F.col("form").alias("new")), ["kind", "new"], "left_semi").select("kind", "form")
-        losers = drawn.join(shared, ["kind", "new"]).where("form <> keeper").select("kind", "form").unionByName(taken).distinct()
+        shared = tried.groupBy("kind", "new").agg(F.count(F.lit(1)).alias("n"), F.max_by("form", F.struct("attempt", F.expr("-xxhash64(form)"), "form")).alias("keeper")).where("n > 1")
+        taken = tried.join(known.select("kind", F.col("form").alias("new")), ["kind", "new"], "left_semi").select("kind", "form")
+        losers = tried.join(shared, ["kind", "new"]).where("form <> keeper").select("kind", "form").unionByName(taken).distinct()
         losers = stored(losers.withColumn("again", F.lit(1)), "losers")
         if not losers.limit(1).count():
-            return drawn.where("attempt > 0").select("kind", "form", "attempt")
-        drawn = drawn.join(losers, ["kind", "form"], "left").select("kind", "form", "example", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt"))
+            return tried.where("attempt > 0").select("kind", "form", "attempt")
+        tried = tried.join(losers, ["kind", "form"], "left").select("kind", "form", "example", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt"))
+    raise ValueError(f"some entities share a surrogate after {MAX_ATTEMPTS} attempts")
 
 
 def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
@@ -188,16 +214,13 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     slim = docs.select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("row_key"))
     joined = slim.join(checked_broadcast(stored(again.select("row_key", F.map_entries("attempts").alias("attempts")), "redrawn")), "row_key", "left")
 
-    def replaced(m: Column) -> Column:
-        kind = kind_of(m)
-        id_ = F.concat_ws(":", kind, canonical(m, kind))
-        drew = F.filter(F.coalesce("attempts", F.array().cast("array<struct<key:string,value:int>>")), lambda e: e["key"] == id_)
-        attempt = F.when(F.size(drew) > 0, F.element_at(drew, F.when(F.size(drew) > 0, F.lit(1)))["value"]).otherwise(F.lit(0))
-        return F.struct(kind.alias("kind"), F.when(kind.isNull(), m).otherwise(surrogate(m, kind, key, attempt)).alias("new"))
+    def attempt(kind: Column, form: Column) -> Column:
+        drew = F.filter("attempts", lambda e: e["key"] == F.concat_ws(":", kind, form))
+        return F.when(F.col("attempts").isNull(), F.lit(0)).otherwise(F.coalesce(F.get(drew, F.lit(0))["value"], F.lit(0)))
 
     text = F.col("text")
     some = text.rlike(ENTITY)
-    new = F.when(some, F.transform(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), replaced))
+    new = F.when(some, drawn(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), key, attempt))
     done = joined.select("doc_id", "text", new.alias("new"), F.when(some, F.split(text, ENTITY, -1)).alias("pieces"))
     out = F.when(F.col("new").isNull(), text).otherwise(F.array_join(F.zip_with("pieces", "new", lambda p, n: F.concat(p, F.coalesce(n["new"], F.lit("")))), ""))
     counts = [F.coalesce(F.size(F.filter("new", lambda n: n["kind"] == kind)), F.lit(0)).cast("long").alias(f"n_{kind}") for kind in KINDS]
