@@ -190,8 +190,10 @@ PACKAGE_COUNTS = (
 
 
 def package_counts(name: Column) -> Column:
-    found = [F.transform(_all(name, p, 1), lambda x, kind=kind: F.concat(F.lit(f"{kind}:"), x)) for kind, p in PACKAGE_COUNTS]
-    return F.array_distinct(F.concat(*found))
+    def found(kind: str, form: str) -> Column:
+        return F.transform(_all(name, form, 1), lambda x: F.concat(F.lit(f"{kind}:"), x))
+
+    return F.array_distinct(F.concat(*[found(kind, form) for kind, form in PACKAGE_COUNTS]))
 
 
 def bare_numbers(name: Column) -> Column:

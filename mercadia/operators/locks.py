@@ -9,7 +9,7 @@ Where a group of kinds excludes one another, the first kind in the group's order
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import reduce, wraps
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -99,7 +99,11 @@ def _shared(a: Column, b: Column, values) -> Column:
 
 
 def _either_way(lock: Lock) -> Lock:
-    return lambda a, b: lock(a, b) | lock(b, a)
+    @wraps(lock)
+    def both(a: Column, b: Column) -> Column:
+        return lock(a, b) | lock(b, a)
+
+    return both
 
 
 def _brands_of(x: Column, categories: tuple[str, ...]) -> Column:

@@ -275,10 +275,10 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def q_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At most 3 calls in 3 hours of a client and bucket; each refusal changes what follows, so there is no SQL."""
-    return rate_limit(calls(spark, sf_dir), 3, 10800.0)
+    """At most 3 calls in 5 days of a client and bucket; each refusal changes what follows, so there is no SQL."""
+    return rate_limit(calls(spark, sf_dir), 3, 432000.0)
 
 
-@query("""SELECT event_id AS call_id, count(*) OVER (PARTITION BY user_id % 10, event_type ORDER BY epoch(ts) RANGE BETWEEN 10800 PRECEDING AND CURRENT ROW) AS calls_in_window FROM events""")
+@query("""SELECT event_id AS call_id, count(*) OVER (PARTITION BY user_id % 10, event_type ORDER BY epoch(ts) RANGE BETWEEN 432000 PRECEDING AND CURRENT ROW) AS calls_in_window FROM events""")
 def q_rate_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rate_bound(calls(spark, sf_dir), 10800.0).select("call_id", "calls_in_window")
+    return rate_bound(calls(spark, sf_dir), 432000.0).select("call_id", "calls_in_window")

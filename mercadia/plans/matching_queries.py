@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mercadia.functions.codes import clean_ean, clean_ean_offer, clean_ean_page, clean_ean_photo, unit_ean_of_dun14
@@ -82,7 +82,7 @@ def q_table_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {SQL_PRICES}, terms AS (SELECT unnest([7, 14, 21, 28, 35, 42]) AS term)
-    SELECT name, row_no, CAST(term AS INTEGER) AS term, CAST(round(CAST(price AS DECIMAL(18,4)) * CAST(100 + term / 7.0 AS DECIMAL(10,2)) / 100, 2) AS DOUBLE) AS term_price FROM price_rows, terms""")
+    SELECT name, row_no, CAST(term AS INTEGER) AS term, CAST(round(CAST(price AS DECIMAL(12,4)) * CAST(100 + term / 7.0 AS DECIMAL(8,2)) * CAST(0.01 AS DECIMAL(4,2)), 2) AS DOUBLE) AS term_price FROM price_rows, terms""")
 def q_term_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     prices = price_rows(spark, sf_dir)
     wide = term_table(prices, {7 * n: float(n) for n in range(1, 7)})
@@ -154,7 +154,7 @@ def q_price_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("p_partkey", "price_text", table_price(c).alias("as_table"), offer_price(c).alias("as_offer"), page_price(c).alias("as_page"), merge_price(c).alias("as_merge"), typed_price(c).alias("as_typed"))
 
 
-@query("""SELECT p_partkey, CAST(round(CAST(p_retailprice AS DECIMAL(18,4)) * CAST(100 - p_size AS DECIMAL(10,2)) / 100, 2) AS DOUBLE) AS discounted,
+@query("""SELECT p_partkey, CAST(round(CAST(p_retailprice AS DECIMAL(12,4)) * CAST(100 - p_size AS DECIMAL(8,2)) * CAST(0.01 AS DECIMAL(4,2)), 2) AS DOUBLE) AS discounted,
     CASE WHEN p_size % 5 = 0 THEN p_retailprice ELSE floor(p_retailprice * (1 + (p_size % 5) / 100.0::DOUBLE) * 100 + 0.5) / 100 END AS adjusted,
     CASE WHEN p_size % 3 = 0 THEN p_retailprice ELSE CAST(p_size AS DOUBLE) END AS unit_price, CAST(p_size AS INTEGER) AS units,
     CAST(CAST(CASE WHEN p_size % 3 = 0 THEN p_retailprice ELSE p_size END AS DECIMAL(18,2)) * p_size AS DOUBLE) AS package_price FROM part""")
@@ -212,10 +212,14 @@ def q_reorder_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- names: rows that SQL can't express; tests/ holds them against brute force and cases ----
+def _table_id() -> Column:
+    return F.concat_ws("/", "p_brand", "p_type").alias("table_id")
+
+
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(table_id, name, price, row_no) with names in normal form."""
+    """(table_id, name, price, row_no) with names in normal form: one price table a brand and type."""
     p = price_rows(spark, sf_dir).withColumn("raw", F.concat_ws(" ", F.col("name"), F.concat(F.col("p_size"), F.lit(" gramas"))))
-    return normalise_names(p, "raw", "norm").select(F.lit(1).alias("table_id"), F.col("norm").alias("name"), "price", "row_no", "p_name", "p_brand")
+    return normalise_names(p, "raw", "norm").select(_table_id(), F.col("norm").alias("name"), "price", "row_no")
 
 
 def brand_rules(spark: SparkSession, sf_dir: str) -> BrandRules:
@@ -230,7 +234,7 @@ def _quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("row_no") % 3
     words = F.split("p_name", " ")
     raw = F.when(kind == 0, F.concat_ws(" ", "p_brand", "p_name")).when(kind == 1, F.concat_ws(" ", words[1], "p_brand")).otherwise(F.concat_ws(" ", "p_name", "p_brand", F.concat(F.col("p_size") + 1, F.lit("G"))))
-    return normalise_names(p.withColumn("raw", raw), "raw", "norm").select(F.lit(1).alias("table_id"), F.col("norm").alias("name"))
+    return normalise_names(p.withColumn("raw", raw), "raw", "norm").select(_table_id(), F.col("norm").alias("name"))
 
 
 @query()
