@@ -78,10 +78,14 @@ def count_matches(text: Column, pattern: str) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(pattern)).cast("long")
 
 
+def fits(small: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether rows that are cheap to read measure at most limit bytes."""
+    return (small.agg(F.sum(F.length(F.to_json(F.struct("*"))) + 64).alias("b")).first()["b"] or 0) <= limit
+
+
 def checked_broadcast(small: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """small with a broadcast hint if its rows, which must be cheap to read, measure at most limit bytes.
 
     Beyond the limit it is returned without a hint: Spark then shuffles both sides of the join.
     """
-    sized = small.agg(F.sum(F.length(F.to_json(F.struct("*"))) + 64).alias("b")).first()["b"] or 0
-    return F.broadcast(small) if sized <= limit else small
+    return F.broadcast(small) if fits(small, limit) else small

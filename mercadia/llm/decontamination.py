@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercadia.llm._common import WORD_ANY_CASE, checked_broadcast, count_matches, lower_words, row_key, stored
+from mercadia.llm._common import BROADCAST_BYTES, WORD_ANY_CASE, checked_broadcast, count_matches, fits, lower_words, row_key, stored
 
 WINDOW = 10
 
@@ -29,12 +29,16 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return words.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i, window))).alias("win")).groupBy("win").agg(F.collect_set("item_id").alias("items"))
 
 
-def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(row_key, start, length, items): where windows of items occur in docs (doc_id, text); start in words, from 0."""
+def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(row_key, start, length, items): where windows of items occur in docs (doc_id, text); start in words, from 0.
+
+    Prefix tokens of up to broadcast_bytes are shipped to the documents. More are shuffled with the documents'
+    words; what is left then meets the documents' word arrays, which are shuffled once.
+    """
     windows = stored(item_windows(items, window), "windows")
     tokens = windows.select(F.explode(F.array_distinct("win")).alias("token")).distinct()
     words = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row_key"), lower_words(F.col("text")).alias("w"))
-    rarity = words.select(F.explode("w").alias("token")).join(checked_broadcast(tokens), "token").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    rarity = words.select(F.explode("w").alias("token")).join(checked_broadcast(tokens, broadcast_bytes), "token").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     # a window with a token that no document holds can't occur and drops out here
     keyed = windows.withColumn("id", F.md5(F.concat_ws(" ", "win"))).select("id", "win", "items", F.posexplode("win").alias("offset", "token")).join(rarity, "token", "left")
     prefix = stored(
@@ -45,20 +49,21 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Data
         "prefixes",
     )
     at = F.col("pos") - F.col("offset")
-    return (
-        words.withColumn("n", F.size("w"))
-        .select("row_key", "n", "w", F.posexplode("w").alias("pos", "token"))
-        .join(checked_broadcast(prefix), "token")
-        .where((at >= 0) & (at + F.col("length") <= F.col("n")))
-        .where(F.slice("w", F.greatest(at + 1, F.lit(1)), F.col("length")) == F.col("win"))
-        .select("row_key", at.alias("start"), "length", "items")
-    )
+    inside = (at >= 0) & (at + F.col("length") <= F.col("n"))
+    same = F.slice("w", F.greatest(at + 1, F.lit(1)), F.col("length")) == F.col("win")
+    words = words.withColumn("n", F.size("w"))
+    if fits(prefix, broadcast_bytes):
+        met = words.select("row_key", "n", "w", F.posexplode("w").alias("pos", "token")).join(F.broadcast(prefix), "token").where(inside)
+    else:
+        met = words.select("row_key", "n", F.posexplode("w").alias("pos", "token")).join(prefix, "token").where(inside)
+        met = met.join(words.select("row_key", "w").dropDuplicates(["row_key"]), "row_key")
+    return met.where(same).select("row_key", at.alias("start"), "length", "items")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per row of docs: n_words, n_hit (words inside any occurrence), n_items, items_sha256, contaminated."""
     hits = (
-        occurrences(docs, items, window)
+        occurrences(docs, items, window, broadcast_bytes)
         .groupBy("row_key")
         .agg(F.collect_set(F.struct("start", "length")).alias("spans"), F.collect_set("items").alias("items"))
         .select(
