@@ -129,7 +129,7 @@ def q_free_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_NUMBERED}, b AS (SELECT p_brand, count(*) AS n FROM price_rows GROUP BY 1) SELECT p_brand AS list_id, n AS items,
-    CASE CAST(substr(p_brand, 7) AS INTEGER) % 4 WHEN 0 THEN CASE WHEN n >= 2 THEN 'compact' ELSE 'compact' END WHEN 1 THEN 'two_line' WHEN 2 THEN 'csv' ELSE 'free' END AS form FROM b""")
+    CASE CAST(substr(p_brand, 7) AS INTEGER) % 4 WHEN 0 THEN 'compact' WHEN 1 THEN 'two_line' WHEN 2 THEN 'csv' ELSE 'free' END AS form FROM b""")
 def q_parse_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each list by the first form that fits: packages with prices are compact even over several lines."""
     kind = F.substring("p_brand", 7, 9).cast("int") % 4
