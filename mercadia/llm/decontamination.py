@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercadia.llm._common import BROADCAST_BYTES, WORD_ANY_CASE, checked_broadcast, count_matches, fits, lower_words, row_key, stored
+from mercadia.llm._common import BROADCAST_BYTES, checked_broadcast, fits, lower_words, row_key, stored
 
 WINDOW = 10
 
@@ -29,15 +29,19 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return words.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i, window))).alias("win")).groupBy("win").agg(F.collect_set("item_id").alias("items"))
 
 
-def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(row_key, start, length, items): where windows of items occur in docs (doc_id, text); start in words, from 0.
+def document_words(docs: DataFrame) -> DataFrame:
+    """(doc_id, row_key, w array<string>): the words of docs (doc_id, text), cut once and stored."""
+    return stored(docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("row_key"), lower_words(F.col("text")).alias("w")), "words")
+
+
+def occurrences(words: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(row_key, start, length, items): where windows of items occur in document_words; start in words, from 0.
 
     Prefix tokens of up to broadcast_bytes are shipped to the documents. More are shuffled with the documents'
     words; what is left then meets the documents' word arrays, which are shuffled once.
     """
     windows = stored(item_windows(items, window), "windows")
     tokens = windows.select(F.explode(F.array_distinct("win")).alias("token")).distinct()
-    words = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row_key"), lower_words(F.col("text")).alias("w"))
     rarity = words.select(F.explode("w").alias("token")).join(checked_broadcast(tokens, broadcast_bytes), "token").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     # a window with a token that no document holds can't occur and drops out here
     keyed = windows.withColumn("id", F.md5(F.concat_ws(" ", "win"))).select("id", "win", "items", F.posexplode("win").alias("offset", "token")).join(rarity, "token", "left")
@@ -62,8 +66,9 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadca
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per row of docs: n_words, n_hit (words inside any occurrence), n_items, items_sha256, contaminated."""
+    words = document_words(docs)
     hits = (
-        occurrences(docs, items, window, broadcast_bytes)
+        occurrences(words, items, window, broadcast_bytes)
         .groupBy("row_key")
         .agg(F.collect_set(F.struct("start", "length")).alias("spans"), F.collect_set("items").alias("items"))
         .select(
@@ -72,7 +77,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, broad
             F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"),
         )
     )
-    base = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("row_key"), count_matches(F.col("text"), WORD_ANY_CASE).alias("n_words"))
+    base = words.select("doc_id", "row_key", F.size("w").cast("long").alias("n_words"))
     ids = F.coalesce("items", F.array().cast("array<string>"))
     return base.join(hits, "row_key", "left").select(
         "doc_id",
