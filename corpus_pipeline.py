@@ -20,7 +20,8 @@ from mercadia.llm.toxicity import fit, score
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more for toxicity go."""
     model = fit(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model, *[c for c in docs.columns if c != "text"], with_text=True).where("score < 0.5").select(*docs.columns)
+    scored = score(docs, model, *[c for c in docs.columns if c != "text"], with_text=True, name="__m_score")
+    return scored.where("__m_score < 0.5").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

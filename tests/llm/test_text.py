@@ -3,8 +3,10 @@
 import gzip
 import hashlib
 import json
+import math
 import re
 import zlib
+from collections import defaultdict
 
 import pytest
 from pyarrow import fs as pafs
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from mercadia.llm import surrogates, token_counts, toxicity, warc
 from mercadia.llm._common import new_path, table
 from tests.llm.cases import documents, empty, rows
+from tests.llm.test_native import low
 
 SF1 = "/root/testdata/sf0.1"
 
@@ -50,6 +53,88 @@ def test_toxicity_cases(spark, sf):
     assert again.count() == documents(spark).count()
 
 
+def brute_toxicity(train, texts, d=toxicity.DISCOUNT, order=toxicity.ORDER, shared=toxicity.SHARED):
+    """(mean, top) of each text by the models as the docstring states them, with plain dictionaries."""
+    pad = " " * (order - 1)
+    plain = lambda t: pad + "".join(w + " " for w in low(t))
+    counts = [defaultdict(int), defaultdict(int)]
+    for t, y in train:
+        p = plain(t)
+        for g in {p[i : i + order] for i in range(len(p) - order + 1)}:
+            counts[y][g] += 1
+    levels = {order: counts}
+    for n in range(order - 1, 0, -1):
+        longer = levels[n + 1]
+        if n + 1 == shared + 1:
+            longer = [dict.fromkeys({*longer[0], *longer[1]}, 1)] * 2
+        below = [defaultdict(int), defaultdict(int)]
+        for c in (0, 1):
+            for g in longer[c]:
+                below[c][g[1:]] += 1
+        levels[n] = below
+    about = {}
+    for n, both in levels.items():
+        for c in (0, 1):
+            for g, v in both[c].items():
+                total, kinds = about.get((c, g[:-1]), (0, 0))
+                about[c, g[:-1]] = total + v, kinds + 1
+
+    def p(c, g):
+        if not g:
+            return 1 / toxicity.CHARACTERS
+        total, kinds = about.get((c, g[:-1]), (0, 0))
+        below = p(c, g[1:])
+        return (max(levels[len(g)][c].get(g, 0) - d, 0) + d * kinds * below) / total if total else below
+
+    out = []
+    for t in texts:
+        x, words, at = plain(t), [], 0.0
+        for i in range(order - 1, len(x)):
+            at += math.log(p(1, x[i - order + 1 : i + 1]) / p(0, x[i - order + 1 : i + 1]))
+            if x[i] == " ":
+                words.append(at)
+                at = 0.0
+        out.append((sum(words) / max(1, len(x) - order + 1), sum(sorted(words, reverse=True)[: toxicity.TOP]) / toxicity.TOP))
+    return out
+
+
+def test_toxicity_equals_brute_force(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    train = [(r.text, r.toxic) for r in docs.join(labels, "doc_id").where("toxic is not null").collect()]
+    train += [("你好世界这是一个没有空格的句子坏人", 1), ("你好世界这是一个没有空格的句子好人", 0)]
+    assert len(train) > 50 and {y for _, y in train} == {0, 1}
+    made = spark.createDataFrame([(t, y) for t, y in train], "text string, toxic int")
+    table_ = toxicity.weights(made)
+    texts = [r.text for r in docs.where("length(text) < 3000").limit(60).collect()] + [None, "", " . ", "abcdefghiidiot", "abcdefghithing", "你好世界这是一个没有空格的句子坏人", "你好世界这是一个没有空格的句子好人", "idiot", "ab idiot idiot idiot", "x" * 9 + "idiot", "e" * 5000]
+    rows_ = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
+    want = brute_toxicity(train, texts)
+    for model in (toxicity.ship(table_), toxicity.ship(table_, 0)):
+        got = {r.n: r for r in toxicity.measure(rows_, model, "n").collect()}
+        assert len(got) == len(texts)
+        for i, (mean, top) in enumerate(want):
+            assert got[i]["__m_mean"] == pytest.approx(mean, abs=2e-5) and got[i]["__m_top"] == pytest.approx(top, abs=2e-4), texts[i]
+    mean = [m for m, _ in want]
+    at = texts.index("abcdefghiidiot")
+    assert mean[at] > mean[at + 1] and mean[at + 2] > mean[at + 3]
+
+
+def test_toxicity_by_joining_equals_shipping(spark, sf):
+    docs, labels = table(spark, sf, "documents").unionByName(documents(spark).select("doc_id", "text", "lang", "source", "n_chars")), table(spark, sf, "labels")
+    one, other = (rows(toxicity.score(docs, toxicity.fit(docs, labels, most), "doc_id"), "doc_id", "score") for most in (toxicity.SHIPPED, 0))
+    assert [r[0] for r in one] == [r[0] for r in other] and len(one) == docs.count()
+    assert [r[1] for r in one] == pytest.approx([r[1] for r in other], abs=1e-6)
+
+
+def test_stage_columns_may_clash(spark, sf):
+    import corpus_pipeline
+
+    labels = table(spark, sf, "labels")
+    docs = documents(spark).withColumn("score", F.lit(7)).withColumn("words", F.lit("w")).withColumn("ratio", F.lit(1.0)).withColumn("strong", F.lit(2.0))
+    kept = corpus_pipeline.drop_toxic(spark, docs, sf)
+    assert kept.columns == docs.columns and {(r.score, r.words, r.ratio, r.strong) for r in kept.collect()} <= {(7, "w", 1.0, 2.0)}
+    assert labels.count() and kept.count() <= docs.count()
+
+
 PAGES = [(1, "http://a/ b\n", "x" * 2000), (2, None, "x" * 2000), (3, "u", "x" * 2000), (3, "u", "x" * 2000), (4, "u", None), (5, "u", ""), (6, "u", "é" * 400), (7, "u", "é" * 400), (None, "u", "x" * 2000), (8, "http://c/", "\r\n\r\nWARC/1.1\r\n" + "y" * 3000), (9, "u", "é" * 500), (10, "u", "é" * 500)]
 
 
