@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -74,6 +74,31 @@ def lower_words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), SEPARATORS, -1), "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def before(numbers: Column, op: Callable[[Column, Column], Column], block: int = 128) -> Column:
+    """For each of an array<bigint> the fold, from 0, of those before it, and at the end that of all.
+
+    Arrays can only be appended to by copying them, so that is done in blocks: the work stays in proportion to
+    the array's size.
+    """
+    zero = F.lit(0).cast("bigint")
+
+    def scan(values: Column, start: Column) -> Column:
+        return F.aggregate(values, F.array(start), lambda a, x: F.concat(a, F.array(op(F.element_at(a, -1), x))))
+
+    def whole(ns: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(ns) / block).cast("int")), lambda b: F.slice(ns, b * block + 1, F.lit(block)))
+        far = lambda bs: scan(F.transform(bs, lambda b: F.aggregate(b, zero, op)), zero)
+        each = lambda bs, starts: F.flatten(F.zip_with(bs, F.slice(starts, F.lit(1), F.size(bs)), lambda b, s: F.slice(scan(b, s), F.lit(1), F.size(b))))
+        return let(blocks, lambda bs: let(far(bs), lambda starts: F.concat(each(bs, starts), F.array(F.element_at(starts, -1)))))
+
+    return let(numbers, whole)
+
+
 def count_matches(text: Column, pattern: str) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(pattern)).cast("long")
 

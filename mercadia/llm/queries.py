@@ -96,4 +96,41 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN ids USING (doc_id)
     """,
+    "op9_secrets": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+        found AS (
+            SELECT r, 0 AS k, 6 AS least, regexp_extract_all(t, p, 0) AS m, regexp_extract_all(t, p, 1) AS g, string_split_regex(t, p) AS gap
+            FROM d, (SELECT '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)' AS p)
+            UNION ALL SELECT r, 1, 20, regexp_extract_all(t, p, 0), regexp_extract_all(t, p, 0), string_split_regex(t, p) FROM d, (SELECT 'AKIA[A-Z0-9]+' AS p)
+            UNION ALL SELECT r, 2, 24, regexp_extract_all(t, p, 0), regexp_extract_all(t, p, 0), string_split_regex(t, p) FROM d, (SELECT '[0-9a-f]+' AS p)
+            UNION ALL SELECT r, 3, 0, regexp_extract_all(t, p, 0), regexp_extract_all(t, p, 0), string_split_regex(t, p) FROM d, (SELECT '[A-Za-z0-9+/]+' AS p)
+            UNION ALL SELECT r, 4, 0, regexp_extract_all(t, p, 0), regexp_extract_all(t, p, 1), string_split_regex(t, p)
+            FROM d, (SELECT '(^|[^A-Za-z])(?i:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9._@-]{3,}' AS p)
+            UNION ALL SELECT r, 5, 0, regexp_extract_all(t, p, 0), regexp_extract_all(t, p, 0), string_split_regex(t, p)
+            FROM d, (SELECT 'https?://[A-Za-z0-9.-]+(?::[0-9]+)?[A-Za-z0-9._~/?&=%-]*' AS p)
+        ), one AS (
+            SELECT r, k, least, unnest(m) AS m, unnest(g) AS g, unnest(gap[1 : len(m)]) AS gap, generate_subscripts(m, 1) AS i FROM found WHERE len(m) > 0
+        ), placed AS (
+            SELECT r, k, least, m, g, sum(length(gap) + length(m)) OVER (PARTITION BY r, k ORDER BY i) AS e FROM one
+        ), spans AS (
+            SELECT r, k, CAST(e - length(m) + CASE WHEN k = 4 THEN length(g) ELSE 0 END AS BIGINT) AS s, CAST(e AS BIGINT) AS e,
+                   CASE WHEN k IN (0, 3) THEN 's' WHEN k IN (1, 4) THEN 'i' WHEN k = 5 THEN 'e' END AS role
+            FROM placed
+            WHERE length(g) >= least AND (k <> 3 OR (length(m) BETWEEN 32 AND 64 AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[0-9]')))
+        ), linked AS (
+            SELECT a.r, a.k, a.s, a.e FROM spans a JOIN spans b ON a.r = b.r AND a.k >= 3 AND b.role IS NOT NULL AND b.role <> a.role AND abs(a.s - b.s) <= 200
+            GROUP BY a.r, a.k, a.s, a.e, a.role
+            HAVING CASE a.role WHEN 's' THEN true WHEN 'i' THEN bool_or(b.role = 's') ELSE bool_or(b.role = 's') AND bool_or(b.role = 'i') END
+        ), listed AS (
+            SELECT r, k, s, e, (['assign', 'access', 'hex', 'secret', 'identifier', 'endpoint'])[k + 1] || ':' || s || ':' || e AS t
+            FROM (SELECT r, k, s, e FROM spans WHERE k < 3 UNION ALL SELECT r, k, s, e FROM linked)
+        ), texts AS (
+            SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, count(*) FILTER (k > 2) AS n_linked,
+                   string_agg(t, ',' ORDER BY s, k, e) FILTER (k < 3) AS base, string_agg(t, ',' ORDER BY s, k, e) AS spans
+            FROM listed GROUP BY r
+        )
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+               sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_linked, 0) AS n_linked
+        FROM d LEFT JOIN texts USING (r)
+    """,
 }

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mercadia.llm._common import row_key, stored
+from mercadia.llm._common import before, let, row_key, stored
 
 #: Kinds in the order in which ties of start are listed.
 KINDS = ["assign", "access", "hex", "secret", "identifier", "endpoint"]
@@ -27,23 +27,26 @@ IDENTIFIER = r"""(?<![A-Za-z])(?i:user(?:name)?|login|account|client_?id|access_
 ENDPOINT = r"""https?://[A-Za-z0-9.-]+(?::[0-9]+)?[A-Za-z0-9._~/?&=%-]*"""
 #: Complementary parts must start at most this many code points apart.
 SCOPE = 200
+#: Characters of the pieces that a text is cut into before spans are taken from it.
+PIECE = 4096
 
 _SPAN = "array<struct<start:bigint,k:int,end:bigint>>"
 
 
 def _spans(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0) -> Column:
     """Spans of the matches whose group has at least `least` characters; code points, end exclusive."""
+    lengths = lambda texts: F.transform(texts, lambda t: F.length(t).cast("bigint"))
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    steps = F.zip_with(pieces, matches, lambda p, m: F.length(p) + F.coalesce(F.length(m), F.lit(0)))
-    groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
+    gaps = F.split(text, pattern, -1)
 
-    def one(m: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice(steps, F.lit(1), i), F.lit(0).cast("bigint"), lambda a, x: a + x)
-        start = before + F.length(F.element_at(pieces, i + 1)).cast("bigint")
-        return F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("k"), (start + F.length(m)).alias("end"), (F.length(F.element_at(groups, i + 1)) >= least).alias("ok"))
+    def placed(found: Column) -> Column:
+        m, g, gap = (found[c] for c in ("m", "g", "gap"))
+        starts = before(F.zip_with(gap, m, lambda a, b: a + F.coalesce(b, F.lit(0))), lambda a, b: a + b)
+        spans = F.zip_with(F.zip_with(m, g, lambda a, b: F.struct(a.alias("m"), b.alias("g"))), F.zip_with(gap, starts, lambda a, b: a + b), lambda x, s: F.struct(s.alias("start"), F.lit(KINDS.index(kind)).alias("k"), (s + x["m"]).alias("end"), x["g"].alias("g")))
+        return F.transform(F.filter(spans, lambda s: s["g"] >= least), lambda s: F.struct(s["start"], s["k"], s["end"]))
 
-    found = F.transform(F.filter(F.transform(matches, one), lambda s: s["ok"]), lambda s: F.struct(s["start"], s["k"], s["end"]))
+    found = let(F.struct(lengths(matches).alias("m"), lengths(groups).alias("g"), lengths(gaps).alias("gap")), placed)
     return F.when(text.rlike(pattern), found.cast(_SPAN)).otherwise(F.array().cast(_SPAN))
 
 
@@ -114,20 +117,33 @@ def secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     )
 
 
+def _cut(text: Column, spans: Column, mark: str) -> Column:
+    """text with each run of overlapping spans, sorted by start, replaced by mark.
+
+    Text is taken from pieces of PIECE characters, as reaching a place in a string means reading what is before it.
+    """
+
+    def between(pieces: Column, a: Column, b: Column) -> Column:
+        at = lambda p, x: F.greatest(F.lit(0), F.least(F.lit(PIECE), x - p * PIECE)).cast("int")
+        some = F.sequence(F.floor(a / PIECE), F.floor((b - 1) / PIECE))
+        return F.when(b > a, F.array_join(F.transform(some, lambda p: F.substring(F.element_at(pieces, (p + 1).cast("int")), at(p, a) + 1, at(p, b) - at(p, a))), "")).otherwise("")
+
+    def done(e: Column) -> Column:
+        pieces, spans, covered = e["pieces"], e["spans"], e["covered"]
+        fresh = F.filter(F.zip_with(spans, F.slice(covered, F.lit(1), F.size(spans)), lambda s, c: F.struct(c.alias("a"), s["start"].alias("b"))), lambda g: g["b"] >= g["a"])
+        return F.concat(F.array_join(F.transform(fresh, lambda g: F.concat(between(pieces, g["a"], g["b"]), F.lit(mark))), ""), between(pieces, F.element_at(covered, -1), e["n"]))
+
+    covered = before(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return let(F.struct(pieces.alias("pieces"), spans.alias("spans"), covered.alias("covered"), F.length(text).cast("bigint").alias("n")), done)
+
+
 def redact(docs: DataFrame, scope: int = SCOPE, mark: str = "[SECRET]") -> DataFrame:
     """docs with every found span replaced in text, and n_chars, where there is one, set anew."""
-    state = "struct<at:bigint,out:string>"
     spans = scan(docs, scope).select("row_key", F.array_sort(F.concat("base", "added")).alias("__m_spans")).where(F.size("__m_spans") > 0).dropDuplicates(["row_key"])
     keyed = docs.withColumn("__m_key", row_key(F.col("doc_id"), F.col("text")))
     joined = keyed.join(spans.withColumnRenamed("row_key", "__m_key"), "__m_key", "left")
-    text = F.col("text")
-
-    def step(a: Column, s: Column) -> Column:
-        fresh = s["start"] >= a["at"]
-        gap = F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(fresh, F.concat(a["out"], gap, F.lit(mark))).otherwise(a["out"]).alias("out")).cast(state)
-
-    cut = F.aggregate("__m_spans", F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")).cast(state), step, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
-    done = joined.withColumn("__m_text", F.when(F.col("__m_spans").isNull(), text).otherwise(cut))
-    keep = [F.col("__m_text").alias("text") if c == "text" else F.when(F.col("__m_spans").isNull(), F.col("n_chars")).otherwise(F.length("__m_text")).cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]
+    found = F.col("__m_spans").isNotNull()
+    done = joined.withColumn("__m_text", F.when(found, _cut(F.col("text"), F.col("__m_spans"), mark)).otherwise(F.col("text")))
+    keep = [F.col("__m_text").alias("text") if c == "text" else F.when(found, F.length("__m_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]
     return done.select(*keep)
