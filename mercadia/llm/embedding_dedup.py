@@ -1,10 +1,12 @@
 """Embedding near-dedup by product quantisation: inverted lists, residual codes, table lookups, exact rerank.
 
-1. Equal vectors become one class, by a sum before any join.
-2. A bounded sample (SAMPLE) trains the coarse centroids of unit vectors and one codebook for each
-   subspace of their residuals. Every vector is then assigned, coded, and given its probes, the lists
-   nearest to it. Their number is the least that covers RECALL of pairs at the very threshold, made from
-   the sample's vectors; a pair is covered if either vector probes the other's list.
+1. Equal vectors become one class, by a sum before any join. Classes of every length are linked on their own.
+2. A bounded sample (SAMPLE) trains the coarse centroids of unit vectors, finer centroids of what they leave
+   over, and one codebook for each subspace of the residuals. A list is a pair of a coarse and a fine centroid,
+   so that their number grows with the vectors while both kinds stay few. Every vector is assigned, coded, and
+   given its probes, the lists nearest to it. Their number is the least that covers RECALL of pairs at the very
+   threshold, made from vectors of the sample that the training didn't see; a pair is covered if either vector
+   probes the other's list.
 3. Queries and members meet in tasks of one block of each, so that a list of any size is split. Distances
    between a query and coded members come from the query's table of distances to the codewords. A member's
    own coding error bounds how far that may be off, so candidates are all members whose looked-up distance
@@ -12,9 +14,9 @@
 4. Of a task leave the classes' numbers of links and a spanning forest of the links, whose connected
    components are the groups. A pair that meets in both directions counts once for either side.
 
-Edge cases: vectors that are null, zero, or hold null or non-finite components, and those whose length
-isn't the most frequent one, link with nothing, equal ones of them too; a null vec_id is kept; repeated
-rows are copies of one another; an empty table gives an empty result; extra columns are ignored.
+Edge cases: vectors that are null, zero, or hold null or non-finite components link with nothing, equal ones
+of them too; vectors of different lengths have no cosine and don't link; a null vec_id is kept; repeated rows
+are copies of one another; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,10 +38,12 @@ THRESHOLD = 0.9
 RECALL = 0.999
 #: Most vectors that training sees.
 SAMPLE = 16_384
-#: Vectors of a list on average, and most lists.
-LIST_SIZE, MAX_LISTS = 512, 2048
+#: Vectors of a list on average, most coarse centroids, and most fine ones.
+LIST_SIZE, COARSE, FINE = 512, 2048, 1024
 SUBSPACES, CODEWORDS = 8, 256
 QUERIES, MEMBERS = 1024, 2048
+#: Distances that coding holds at once.
+AT_ONCE = 1 << 21
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -64,39 +68,78 @@ def _means(x: np.ndarray, k: int, seed: int, rounds: int = 8) -> np.ndarray:
 
 
 class Quantiser:
-    """Coarse centroids, residual codebooks, and the number of probes that covers pairs at the threshold."""
+    """Coarse and fine centroids, residual codebooks, and the number of probes that covers pairs at the threshold."""
 
     def __init__(self, sample: np.ndarray, lists: int, threshold: float, recall: float):
-        self.centroids = _means(sample, lists, 1)
-        near = _squared(sample, self.centroids).argmin(1)
-        residuals = sample - self.centroids[near]
-        self.cuts = np.array_split(np.arange(sample.shape[1]), min(SUBSPACES, sample.shape[1]))
-        self.books = [_means(residuals[:, cut], CODEWORDS, 2 + i) for i, cut in enumerate(self.cuts)]
+        train, rest = (sample, sample) if len(sample) < 64 else (sample[len(sample) // 8 :], sample[: len(sample) // 8])
+        self.coarse = _means(train, max(1, min(COARSE, len(train) // 8, lists)), 1)
+        left = train - self.coarse[self._nearest(train, self.coarse)]
+        many = min(FINE, len(train) // 8, -(-lists // len(self.coarse)))
+        self.fine = _means(left, many, 99) if many > 1 else np.zeros((1, train.shape[1]))
+        left = left - self.fine[self._nearest(left, self.fine)]
+        self.cuts = np.array_split(np.arange(train.shape[1]), min(SUBSPACES, train.shape[1]))
+        self.books = [_means(left[:, cut], CODEWORDS, 2 + i) for i, cut in enumerate(self.cuts)]
         # partners exactly at the threshold, in random directions
-        x = sample[:2000]
+        x = rest[:2000]
         y = np.random.default_rng(7).normal(size=x.shape)
         y -= (y * x).sum(1, keepdims=True) * x
         norm = np.sqrt((y * y).sum(1, keepdims=True))
         y = threshold * x + np.sqrt(1 - threshold**2) * y / np.where(norm > 0, norm, 1)
-        dx, dy = _squared(x, self.centroids), _squared(y, self.centroids)
-        at = np.arange(len(x))
+        # how many coarse centroids must be looked into, and then how many lists probed
+        share = 1 - (1 - recall) / (2 if len(self.fine) > 1 else 1)
+        self.wide = len(self.coarse)
+        self.wide = self._least(_squared(x, self.coarse), _squared(y, self.coarse), share, len(self.coarse))
+        lists_x, lists_y = self._lists(x), self._lists(y)
+        place = lambda lists, own: np.where((lists == own[:, None]).any(1), (lists == own[:, None]).argmax(1), lists.shape[1])
+        ranks = np.sort(np.minimum(place(lists_x, lists_y[:, 0]), place(lists_y, lists_x[:, 0])))
+        self.probes = min(lists_x.shape[1], int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))]) + 1)
+
+    @staticmethod
+    def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+        step = max(1, AT_ONCE // len(c))
+        return np.concatenate([_squared(x[i : i + step], c).argmin(1) for i in range(0, len(x), step)])
+
+    @staticmethod
+    def _least(dx: np.ndarray, dy: np.ndarray, share: float, most: int) -> int:
+        """How many nearest centroids of one vector must be taken to meet the other's nearest, for a share of pairs."""
+        at = np.arange(len(dx))
         rank = lambda d, j: (d < d[at, j][:, None]).sum(1)
         ranks = np.sort(np.minimum(rank(dx, dy.argmin(1)), rank(dy, dx.argmin(1))))
-        self.probes = min(len(self.centroids), int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))]) + 1)
+        return min(most, int(ranks[min(len(ranks) - 1, int(np.ceil(share * len(ranks))))]) + 1)
+
+    def _lists(self, x: np.ndarray) -> np.ndarray:
+        """The lists of the nearest coarse centroids, nearest first; a vector's own list is that of its nearest coarse one."""
+        out, fine = [], len(self.fine)
+        step = max(1, AT_ONCE // max(len(self.coarse), self.wide * fine))
+        for i in range(0, len(x), step):
+            part = x[i : i + step]
+            d = _squared(part, self.coarse)
+            near = np.argpartition(d, self.wide - 1, axis=1)[:, : self.wide]
+            near = np.take_along_axis(near, np.take_along_axis(d, near, 1).argsort(1, kind="stable"), 1)
+            if fine == 1:
+                out.append(near)
+                continue
+            far = np.take_along_axis(d, near, 1)[:, :, None] + (self.fine * self.fine).sum(1) - 2 * ((part @ self.fine.T)[:, None] - (self.coarse @ self.fine.T)[near])
+            own = far[:, 0].argmin(1)
+            far[np.arange(len(part)), 0, own] = -np.inf
+            order = far.reshape(len(part), -1).argsort(1, kind="stable")
+            out.append(np.take_along_axis(near, order // fine, 1) * fine + order % fine)
+        return np.concatenate(out)
+
+    def centre(self, lists: np.ndarray) -> np.ndarray:
+        return self.coarse[lists // len(self.fine)] + self.fine[lists % len(self.fine)]
 
     def code(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Lists to probe, nearest first; codes; and coding errors."""
-        d = _squared(x, self.centroids)
-        probes = np.argpartition(d, self.probes - 1, axis=1)[:, : self.probes]
-        probes = np.take_along_axis(probes, np.take_along_axis(d, probes, 1).argsort(1, kind="stable"), 1).astype(np.int32)
-        residual = x - self.centroids[probes[:, 0]]
-        codes = np.stack([_squared(residual[:, cut], book).argmin(1) for cut, book in zip(self.cuts, self.books)], 1).astype(np.uint8)
+        probes = self._lists(x)[:, : self.probes].astype(np.int32)
+        residual = x - self.centre(probes[:, 0])
+        codes = np.stack([self._nearest(residual[:, cut], book) for cut, book in zip(self.cuts, self.books)], 1).astype(np.uint8)
         error = sum(((residual[:, cut] - book[codes[:, i]]) ** 2).sum(1) for i, (cut, book) in enumerate(zip(self.cuts, self.books)))
         return probes, codes, np.sqrt(error)
 
     def looked_up(self, x: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """Squared distances between queries and the coded members of one list."""
-        residual = x - self.centroids[cell]
+        residual = x - self.centre(np.array([cell]))
         out = np.zeros((len(x), len(codes)), np.float32)
         for i, (cut, book) in enumerate(zip(self.cuts, self.books)):
             part = residual[:, cut]
@@ -105,43 +148,44 @@ class Quantiser:
         return out
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+def _matrix(column: pa.ChunkedArray | pa.Array, size: int) -> np.ndarray:
+    """Unit vectors of doubles from the bytes of vectors of `size` components, which are floats or doubles."""
     rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), float).reshape(len(rows), -1)
+    return _unit(np.frombuffer(b"".join(rows), np.dtype(f"f{len(rows[0]) // size}")).reshape(len(rows), size).astype(float))
 
 
 def _keyed(vectors: DataFrame) -> DataFrame:
-    """(vec_id, key, dim, vec): unit vectors as bytes of doubles; null where a vector links with nothing."""
+    """(vec_id, key, dim, vec): the bytes of vectors; null where a vector links with nothing."""
+    narrow = vectors.schema["embedding"].dataType.elementType.simpleString() == "float"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, dims, vecs = [], [], []
             for v in batch.column(1):
-                x = None if not v.is_valid or not len(v) or v.values.null_count else v.values.to_numpy(zero_copy_only=False).astype(float)
+                x = None if not v.is_valid or not len(v) or v.values.null_count else v.values.to_numpy(zero_copy_only=False)
                 ok = x is not None and bool(np.isfinite(x).all()) and bool(x.any())
-                data = (x + 0.0).tobytes() if ok else None
+                data = (x + x.dtype.type(0)).tobytes() if ok else None
                 keys.append(hashlib.md5(data).digest() if ok else None)
                 dims.append(len(x) if ok else None)
-                vecs.append(_unit(x[None])[0].tobytes() if ok else None)
+                vecs.append(data)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(dims, pa.int32()), pa.array(vecs, pa.binary())], names=["vec_id", "key", "dim", "vec"])
 
-    slim = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    slim = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if narrow else "array<double>").alias("embedding"))
     return slim.mapInArrow(task, "vec_id long, key binary, dim int, vec binary")
 
 
-def link(classes: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+def link(classes: DataFrame, size: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
     """Links between classes (key, copies, vec) of one length: (key, links), and a spanning forest (a, b)."""
     spark = classes.sparkSession
-    sample = _matrix(classes.select("key", "vec").orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("vec").toArrow()["vec"])
-    lists = max(1, min(MAX_LISTS, len(sample) // 8, -(-classes.count() // LIST_SIZE)))
-    shipped = spark.sparkContext.broadcast(Quantiser(sample, lists, threshold, recall))
+    sample = _matrix(classes.select("key", "vec").orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("vec").toArrow()["vec"], size)
+    shipped = spark.sparkContext.broadcast(Quantiser(sample, max(1, -(-classes.count() // LIST_SIZE)), threshold, recall))
     radius = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q: Quantiser = shipped.value
         for batch in batches:
             if batch.num_rows:
-                probes, codes, error = q.code(_matrix(batch.column(2)))
+                probes, codes, error = q.code(_matrix(batch.column(2), size))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(probes), pa.list_(pa.int32())), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)], names=["key", "copies", "vec", "probes", "codes", "error"])
 
     coded = stored(classes.select("key", "copies", "vec").mapInArrow(code, "key binary, copies long, vec binary, probes array<int>, codes binary, error double"), "coded")
@@ -155,7 +199,10 @@ def link(classes: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
         block = F.pmod(F.xxhash64("key"), F.col(own)).cast("int")
         rows = rows.join(cells, "cell").withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
         m, q = ("own", "other") if side else ("other", "own")
-        return rows.select(F.xxhash64("cell", m, q).alias("task"), F.lit(side).alias("side"), "cell", "key", "copies", "vec", "probes", "codes", "error")
+        # a query needs its own list, a member all of its probes
+        probes = F.col("probes") if side else F.slice("probes", 1, 1)
+        coded = [F.col(c) if side else F.lit(None).cast(t).alias(c) for c, t in (("codes", "binary"), ("error", "double"))]
+        return rows.select(F.xxhash64("cell", m, q).alias("task"), F.lit(side).alias("side"), "cell", "key", "copies", "vec", probes.alias("probes"), *coded)
 
     both = dealt(members, 1, "m_blocks", "q_blocks").unionByName(dealt(queries, 0, "q_blocks", "m_blocks"))
 
@@ -164,8 +211,13 @@ def link(classes: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
         for t in whole_groups(batches, "task", 512):
             tasks, side, cell, copies, error = (t.column(c).to_numpy() for c in ("task", "side", "cell", "copies", "error"))
             keys = t.column("key").combine_chunks()
-            vec, probes = _matrix(t.column("vec")), np.array(t.column("probes").to_pylist())
-            codes = np.frombuffer(b"".join(t.column("codes").to_pylist()), np.uint8).reshape(len(tasks), -1)
+            vec, listed = _matrix(t.column("vec"), size), t.column("probes").to_pylist()
+            own = np.array([p[0] for p in listed])
+            members = np.flatnonzero(side == 1)
+            probes, codes = np.zeros((len(tasks), q.probes), np.int32), np.zeros((len(tasks), len(q.cuts)), np.uint8)
+            if len(members):
+                probes[members] = [listed[i] for i in members]
+                codes[members] = np.frombuffer(b"".join(t.column("codes").filter(pa.array(side == 1)).to_pylist()), np.uint8).reshape(len(members), -1)
             _, same = np.unique(np.array(keys.to_pylist(), object), return_inverse=True)
             links, near = np.zeros(len(tasks), np.int64), []
             starts = group_starts(tasks)
@@ -183,7 +235,7 @@ def link(classes: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
                 ok = cosine >= threshold
                 i, j = i[ok], j[ok]
                 # the member meets the query again if it probes the query's list
-                again = (probes[j] == probes[i, :1]).any(1)
+                again = (probes[j] == own[i, None]).any(1)
                 np.add.at(links, i, copies[j])
                 np.add.at(links, j[~again], copies[i[~again]])
                 near.append((i, j))
@@ -194,8 +246,8 @@ def link(classes: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
             first = np.zeros(len(root), int)
             first[same[::-1]] = np.arange(len(same))[::-1]
             total = np.bincount(same, links, len(root)).astype(np.int64)
-            own = np.flatnonzero((total > 0) | (root != np.arange(len(root))))
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(first[own])), keys.take(pa.array(first[root[own]])), pa.array(total[own])], names=["a", "b", "links"])
+            some = np.flatnonzero((total > 0) | (root != np.arange(len(root))))
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(first[some])), keys.take(pa.array(first[root[some]])), pa.array(total[some])], names=["a", "b", "links"])
 
     found = stored(both.repartition("task").sortWithinPartitions("task").mapInArrow(compare, "a binary, b binary, links long"), "links")
     return found.groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links")), found.where("a <> b").select("a", "b")
@@ -204,13 +256,15 @@ def link(classes: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One row per row of vectors (vec_id, embedding): vec_id, n_links, component_id, kept."""
     rows = stored(_keyed(vectors), "vectors")
-    dims = rows.where("dim is not null").groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
-    if dims is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    rows = rows.withColumn("key", F.when(F.col("dim") == dims["dim"], F.col("key")))
-    classes = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec"))
+    classes = rows.where("key is not null").groupBy("key", "dim").agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec"))
     classes = stored(classes, "classes")
-    links, edges = link(classes, threshold, recall)
+    # a length is linked by jobs of its own; one of a single class has nothing to link
+    sizes = [r["dim"] for r in classes.groupBy("dim").count().where("count > 1").orderBy("dim").collect()]
+    if not sizes:
+        links, edges = classes.select("key", F.lit(0).cast("long").alias("links")).limit(0), classes.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
+    for i, size in enumerate(sizes):
+        more, pairs = link(classes.where(F.col("dim") == size), size, threshold, recall)
+        links, edges = (more, pairs) if not i else (links.unionByName(more), edges.unionByName(pairs))
     roots = stored(components(edges).join(classes.select(F.col("key").alias("node"), "class_id"), "node"), "roots")
     lowest = roots.groupBy("root").agg(F.min("class_id").alias("component"))
     grouped = roots.join(lowest, "root").select(F.col("node").alias("key"), "component")

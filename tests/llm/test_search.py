@@ -101,8 +101,10 @@ def test_embeddings(spark, sf):
     assert rows(got, "vec_id", "n_links", "component_id", "kept") == brute_vectors(vectors)
 
 
-@pytest.mark.parametrize("block", [2048, 4])
-def test_embeddings_in_blocks(spark, block, monkeypatch):
+@pytest.mark.parametrize("block,coarse", [(2048, 2048), (4, 2048), (64, 6)])
+def test_embeddings_in_blocks(spark, block, coarse, monkeypatch):
+    # with few coarse centroids, lists are pairs of a coarse and a fine one
+    monkeypatch.setattr(embedding_dedup, "COARSE", coarse)
     monkeypatch.setattr(embedding_dedup, "MEMBERS", block)
     monkeypatch.setattr(embedding_dedup, "QUERIES", block)
     monkeypatch.setattr(embedding_dedup, "LIST_SIZE", 32)
@@ -111,8 +113,10 @@ def test_embeddings_in_blocks(spark, block, monkeypatch):
     x = [(i, [float(c) for c in base[i % 60] + rng.normal(size=12) * 0.15 * (i % 4)]) for i in range(400)]
     x += [(500 + i, [1.0, 2.0] + [0.0] * 10) for i in range(30)]
     x += [(600, None), (601, [0.0] * 12), (602, [1.0, None] + [0.0] * 10), (603, [float("nan")] + [1.0] * 11), (604, []), (605, [float("inf")] + [1.0] * 11), (606, [1.0, 2.0]), (607, [1.0, 2.0])]
+    x += [(700 + i, [float(c) for c in rng.normal(size=5)]) for i in range(3)] + [(710, [3.0]), (711, [5.0]), (712, [-1.0])]
     df = spark.createDataFrame([(*r, 1, "x") for r in x], "vec_id long, embedding array<double>, key int, task string").repartition(4)
-    want = [w if w[0] not in (606, 607) else (w[0], 0, w[0], True) for w in brute_vectors(x)]
+    want = brute_vectors(x)
+    assert {w[0]: w[1] for w in want}[606] == 1 and {w[0]: w[1] for w in want}[710] == 1
     got = rows(embedding_dedup.near_duplicates(df), "vec_id", "n_links", "component_id", "kept")
     lost = sum(b[1] for b in want) - sum(a[1] for a in got)
     assert 0 <= lost <= 0.002 * sum(b[1] for b in want)
@@ -121,3 +125,19 @@ def test_embeddings_in_blocks(spark, block, monkeypatch):
     none = df.where(F.col("vec_id") >= 600).where(F.col("vec_id") < 606)
     assert rows(embedding_dedup.near_duplicates(none), "vec_id", "n_links", "kept") == [(i, 0, True) for i in range(600, 606)]
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_recall_on_vectors_that_trained_nothing(spark):
+    rows_ = table(spark, "/root/testdata/sf0.1", "embeddings").collect()
+    x = np.array([r.embedding for r in rows_ if r.embedding is not None and len(r.embedding) == 64], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rng = np.random.default_rng(4)
+    half = len(x) // 2
+    q = embedding_dedup.Quantiser(x[:half], 40, 0.9, embedding_dedup.RECALL)
+    y = rng.normal(size=(half, 64))
+    a = x[half : 2 * half]
+    y -= (y * a).sum(1, keepdims=True) * a
+    y = 0.9 * a + np.sqrt(1 - 0.81) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    pa_, pb = q.code(a)[0], q.code(y)[0]
+    met = (pa_ == pb[:, :1]).any(1) | (pb == pa_[:, :1]).any(1)
+    assert q.probes < 40 and met.mean() >= 0.98
