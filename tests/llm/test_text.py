@@ -9,6 +9,7 @@ import zlib
 from collections import defaultdict
 
 import pytest
+import regex
 from pyarrow import fs as pafs
 from pyspark.sql import functions as F
 
@@ -214,12 +215,13 @@ def test_token_counts_ties_and_whole_search():
         assert token_counts.Counter(pieces).count(text) == n
 
 
+SECRET = "of the tests"
 PRIVATE = "Mail Éva.Lu-07@mail.example.com or eva@x.org, call +1 (743) 555-3824 or (743) 555-3824, card 4845 1681 1440 7329, host 97.51.17.173. Frau Anna Meier met Mr. Smith and Г-жа Анна Белова; order 9807915762804490, section 4.2."
 
 
 def test_surrogates(spark, sf):
     docs = spark.createDataFrame([(1, PRIVATE), (2, "again 4845168114407329 and EVA@x.org."), (3, None), (4, ""), (5, "nothing here 1.2.3.999")], "doc_id long, text string")
-    got = {r.doc_id: r for r in surrogates.pseudonymise(docs).collect()}
+    got = {r.doc_id: r for r in surrogates.pseudonymise(docs, SECRET).collect()}
     text = got[1].text
     for gone in ("Éva", "eva@x.org", "555-3824", "4845 1681", "97.51.17.173", "Meier", "Smith", "Белова"):
         assert gone not in text
@@ -235,11 +237,11 @@ def test_surrogates(spark, sf):
     assert re.search(r"Г-жа (\S+) ", text)[1] in surrogates.GIVEN["cyrillic"]["f"]
     assert (got[3].text, got[4].text, got[5].text) == (None, "", "nothing here 1.2.3.999")
     # another key gives other surrogates; the same gives the same
-    assert surrogates.pseudonymise(docs).where("doc_id = 1").first().text == text != surrogates.pseudonymise(docs, "other").where("doc_id = 1").first().text
+    assert surrogates.pseudonymise(docs, SECRET).where("doc_id = 1").first().text == text != surrogates.pseudonymise(docs, "other").where("doc_id = 1").first().text
     real = table(spark, sf, "documents")
-    out = surrogates.pseudonymise(real)
+    out = surrogates.pseudonymise(real, SECRET)
     assert out.count() == real.count() and out.where("n_email + n_phone + n_card + n_ip > 0").count() > 10
-    assert surrogates.pseudonymise(empty(spark)).count() == 0 and surrogates.pseudonymise(documents(spark)).count() == documents(spark).count()
+    assert surrogates.pseudonymise(empty(spark), SECRET).count() == 0 and surrogates.pseudonymise(documents(spark), SECRET).count() == documents(spark).count()
 
 
 def test_surrogates_draw_again(spark, monkeypatch):
@@ -247,5 +249,59 @@ def test_surrogates_draw_again(spark, monkeypatch):
     narrow = surrogates._stream
     monkeypatch.setattr(surrogates, "_stream", lambda k, kind, form, attempt: F.rpad(F.substring(narrow(k, kind, form, attempt), 1, 3), 128, "0"))
     docs = spark.createDataFrame([(i, f"at 10.0.{i // 200}.{i % 200 + 1} now") for i in range(600)], "doc_id long, text string")
-    new = [re.search(r"at (\S+) now", r.text)[1] for r in surrogates.pseudonymise(docs).collect()]
+    new = [re.search(r"at (\S+) now", r.text)[1] for r in surrogates.pseudonymise(docs, SECRET).collect()]
     assert len(set(new)) == 600 and not set(new) & {f"10.0.{i // 200}.{i % 200 + 1}" for i in range(600)}
+
+
+def entities_of(text):
+    """(kind, canonical form) of each entity of a text in order, from plain code."""
+    out = []
+    for m in regex.finditer(surrogates.ENTITY, text or ""):
+        m = m[0]
+        digits = re.sub("[^0-9]", "", m)
+        if "@" in m:
+            out.append(("email", m.lower()))
+        elif ":" in m:
+            out.append(("ip6", m.lower()))
+        elif regex.match(r"\p{Lu}", m):
+            out += [("name", w.lower()) for w in regex.sub("^" + surrogates.TITLE, "", m).split(" ")]
+        elif re.fullmatch(r"\d+\.\d+\.\d+\.\d+", m):
+            out.append(("ip", m))
+        elif m[0].isdigit() and len(digits) >= 13:
+            if sum((int(c) * 2 - 9 if int(c) > 4 else int(c) * 2) if i % 2 else int(c) for i, c in enumerate(reversed(digits))) % 10 == 0:
+                out.append(("card", digits))
+        else:
+            out.append(("phone", re.sub("^0", "", re.sub("[^0-9]", "", re.sub(rf"^\\+(?:{surrogates.COUNTRY})", "", m)))))
+    return out
+
+
+FORMS = "Mail иван.петров@mail.ru or Éva.Lu-07@mail.example.com; Ms Meier and Frau Anna Meier, later Anna Meier and Иван Петров and Dear Kim Possible. Tel (11) 98765-4321, +55 11 98765-4321, +44 20 7946 0958, (020) 7946 0958. Host fe80::1ff:FE23:4567:890a and std::vector a::b 12:30:45, Mr. Smith-Jones."
+
+
+def test_surrogates_of_many_forms(spark):
+    (r,) = surrogates.pseudonymise(spark.createDataFrame([(1, FORMS)], "doc_id long, text string"), SECRET).collect()
+    got = r.text
+    for gone in ("иван", "петров", "Éva", "Lu-07", "Meier", "Anna", "Иван", "Петров", "Kim", "Possible", "98765", "4321", "7946", "0958", "1ff", "FE23", "Smith", "Jones"):
+        assert gone not in got
+    assert re.search(r"Mail [а-я]+\.[а-я]+@\w+\.example\.ru or [A-Z][a-z]{2}\.[A-Z][a-z]-\d\d@", got)
+    a, given, b, given2, c = re.search(r"Ms (\w+) and Frau (\w+) (\w+), later (\w+) (\w+) and [А-Я][а-я]+ [А-Я][а-я]+ and Dear", got).groups()
+    assert a == b == c and given == given2 in surrogates.GIVEN["latin"]["f"]
+    one, other = re.search(r"Tel \((\d\d)\) \d{5}-\d{4}, \+55 (\d\d \d{5}-\d{4}), ", got)[0][4:-2].split(", ")
+    assert re.sub(r"\D", "", one) == re.sub(r"\D", "", other)[2:]
+    assert re.search(r"\+44 (\d\d \d{4} \d{4}), \(0\d\d\) ", got)[1].replace(" ", "") in re.sub(r"\D", "", got[got.index("(0") :])[1:]
+    assert re.search(r"Host [0-9a-f]{4}::[0-9a-f]{3}:[0-9A-F]{4}:\d{4}:[0-9a-f]{4} and std::vector a::b 12:30:45, Mr\. \w+-\w+\.$", got) or "std::vector a::b 12:30:45, Mr. " in got
+    with pytest.raises(ValueError):
+        surrogates.pseudonymise(empty(spark), "")
+
+
+def test_surrogates_are_one_to_one(spark):
+    made = [(10**6 + i, f"Frau {n} Meier{chr(97 + i % 26)} wrote to user{i % 40}@x{i % 7}.org from 10.0.0.{i % 9}") for i, n in enumerate(["Anna", "Berta", "Clara", "Diana", "Emma", "Flora", "Greta", "Helga", "Irene", "Julia", "Karin", "Laura", "Maria", "Nina", "Olga", "Paula", "Xenia", "Zita"] * 5)]
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id long, text string"))
+    before, after, known = {r.doc_id: r.text for r in docs.collect()}, surrogates.pseudonymise(docs, SECRET).collect(), {}
+    for r in after:
+        one, other = entities_of(before[r.doc_id]), entities_of(r.text)
+        assert len(one) == len(other), r.doc_id
+        assert r.n_email == sum(k == "email" for k, _ in one) and r.n_phone == sum(k == "phone" for k, _ in one)
+        for x, y in zip(one, other):
+            assert known.setdefault(x, y) == y and x[0] == y[0]
+    assert len(set(known.values())) == len(known) > 200 and not set(known) & set(known.values())
