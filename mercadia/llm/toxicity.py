@@ -57,6 +57,8 @@ CALIBRATION_ROWS = 40_000
 #: N-grams that a counting task holds at once, and characters that a scoring task reads at once.
 HELD, READ = 1_000_000, 1 << 18
 _PAD = ORDER - 1
+#: An odd base of the polynomials that n-grams are hashed by.
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _codes(text: bytes) -> np.ndarray:
@@ -66,12 +68,19 @@ def _codes(text: bytes) -> np.ndarray:
     return np.frombuffer((" " * _PAD + plain).encode("utf-32-le"), np.uint32)
 
 
+def _polynomials(x: np.ndarray, least: int, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For n from least to most the values, modulo 2**64, of all runs of n code points as polynomials."""
+    out = np.zeros(len(x) + 1, np.uint64)
+    for n in range(1, most + 1):
+        out = out[:-1] * _BASE
+        out += x[n - 1 :]
+        if n >= least:
+            yield n, out
+
+
 def _hashes(x: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of n code points."""
-    out = np.zeros(max(0, len(x) - n + 1), np.uint64)
-    for j in range(n):
-        out = mixed(out + np.uint64(2 * j + 1)) + x[j : j + len(out)]
-    return mixed(out)
+    return mixed(*[out for _, out in _polynomials(x, n, n)]) if len(x) >= n else np.zeros(0, np.uint64)
 
 
 def _strings(grams: np.ndarray) -> pa.Array:
@@ -154,14 +163,14 @@ class Weights:
     def __init__(self, hashes: np.ndarray, own: np.ndarray, after: np.ndarray):
         self.bits = max(8, int(2 * len(hashes)).bit_length())
         self.key = np.zeros(1 << self.bits, np.uint32)
-        self.value = np.zeros((1 << self.bits, 2), np.float32)
+        self.own, self.next = np.zeros(1 << self.bits, np.float32), np.zeros(1 << self.bits, np.float32)
         at, left = self._slot(hashes), np.arange(len(hashes))
         while len(left):
             free = left[self.key[at[left]] == 0]
             _, first = np.unique(at[free], return_index=True)
             won = free[first]
             self.key[at[won]] = self._sign(hashes[won])
-            self.value[at[won]] = np.stack([own[won], after[won]], 1)
+            self.own[at[won]], self.next[at[won]] = own[won], after[won]
             left = np.setdiff1d(left, won, assume_unique=True)
             at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
 
@@ -171,30 +180,34 @@ class Weights:
     def _sign(self, h: np.ndarray) -> np.ndarray:
         return (h & np.uint64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
 
-    def of(self, h: np.ndarray) -> np.ndarray:
-        """Both weights of each hash; 0 where it isn't found."""
+    def of(self, h: np.ndarray, *kinds: np.ndarray) -> list[np.ndarray]:
+        """The weights of each hash, of each kind; 0 where it isn't found."""
         at, sign = self._slot(h), self._sign(h)
-        key = self.key[at]
-        out = np.where((key == sign)[:, None], self.value[at], np.float32(0))
-        left = np.flatnonzero((key != sign) & (key != 0))
+        key = self.key.take(at)
+        miss = key != sign
+        out = [kind.take(at) for kind in kinds]
+        for found in out:
+            found[miss] = 0
+        left = np.flatnonzero(miss & (key != 0))
         while len(left):
             at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
-            key = self.key[at[left]]
-            hit = key == sign[left]
-            out[left[hit]] = self.value[at[left[hit]]]
-            left = left[~hit & (key != 0)]
+            key = self.key.take(at[left])
+            hit = left[key == sign[left]]
+            for kind, found in zip(kinds, out):
+                found[hit] = kind.take(at[hit])
+            left = left[(key != sign[left]) & (key != 0)]
         return out
 
     def differences(self, x: np.ndarray) -> np.ndarray:
         """The difference of log-likelihoods at each position of code points; 0 at the first ones."""
         out = np.zeros(len(x))
-        for n in range(SHARED, ORDER + 1):
-            if len(x) >= n:
-                found = self.of(_hashes(x, n))
-                if n > SHARED:
-                    out[n - 1 :] += found[:, 0]
-                if n < ORDER:
-                    out[n:] += found[:-1, 1]
+        for n, polynomial in _polynomials(x, SHARED, min(ORDER, len(x))):
+            kinds = [self.own] * (n > SHARED) + [self.next] * (n < ORDER)
+            found = self.of(mixed(polynomial), *kinds)
+            if n > SHARED:
+                out[n - 1 :] += found[0]
+            if n < ORDER:
+                out[n:] += found[-1][:-1]
         out[:_PAD] = 0
         return out
 
