@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,7 +21,14 @@ def _digit(c: Column, at: int) -> Column:
 
 
 def _weighted(c: Column, weights: list[int]) -> Column:
-    return reduce(lambda a, b: a + b, [_digit(c, i) * w for i, w in enumerate(weights, 1)])
+    """The weighted sum of the first digits of a text.
+
+    A fold, not a sum written out: where several codes are checked at once, that makes methods which the JVM
+    refuses to compile.
+    """
+    each = F.array(*[F.lit(w) for w in weights])
+    places = F.sequence(F.lit(1), F.lit(len(weights)))
+    return F.aggregate(places, F.lit(0), lambda total, i: total + (F.ascii(F.substring(c, i, F.lit(1))) - 48) * F.element_at(each, i))
 
 
 def _stripped(c: Column) -> Column:
@@ -53,7 +58,9 @@ def clean_ean(c: Column) -> Column:
     text = _stripped(c)
     number = F.coalesce(_of_code_length(_whole_number(text)), F.lit(""))
     other = F.coalesce(_of_code_length(digits(text)), F.regexp_extract(text, r"\d{8,14}", 0))
-    return F.when(text == "", F.lit("")).when(F.replace(text, F.lit(" "), F.lit("")).rlike(_NUMBER), number).otherwise(other)
+    whole = F.when(text == "", F.lit("")).when(F.replace(text, F.lit(" "), F.lit("")).rlike(_NUMBER), number).otherwise(other)
+    # most codes are plain digits without leading zeros
+    return F.when(as_text(c).rlike(r"^[1-9]\d{7,13}$"), as_text(c)).otherwise(whole)
 
 
 def clean_ean_page(c: Column) -> Column:

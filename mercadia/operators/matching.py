@@ -33,18 +33,27 @@ def to_match(items: DataFrame) -> DataFrame:
     return items.where((~F.col("filled") | F.col("current").isNotNull()) & ((F.coalesce("name", F.lit("")) != "") | (clean_ean(F.col("code")) != "")))
 
 
+def code_prices(codes: DataFrame, prices: DataFrame) -> DataFrame:
+    """(code, ean, table_price) of each of codes (code): the price of its code, or of the unit's code inside a package code.
+
+    Prices are joined twice, but their rows are aggregated once and the exchange is reused.
+    """
+    known = price_by_code(prices)
+    coded = codes.select("code", clean_ean(F.col("code")).alias("ean"))
+    coded = coded.withColumn("__unit", unit_ean_of_dun14(F.col("ean")))
+    direct = known.select("ean", F.col("price").alias("__p1"))
+    unit = known.select(F.col("ean").alias("__unit"), F.col("price").alias("__p2"))
+    return coded.join(direct, "ean", "left").join(unit, "__unit", "left").select("code", "ean", F.coalesce("__p1", "__p2").alias("table_price"))
+
+
 def match_codes(items: DataFrame, prices: DataFrame) -> DataFrame:
     """items with ean, table_price (by the code, or by the unit's code inside a package code) and kind EAN or null.
 
-    Both codes of an item are looked up in one pass over the table: prices are joined twice, but on the
-    price side the rows are aggregated once and the exchange is reused.
+    Each distinct code is cleaned and looked up once; a code without digits has no price.
     """
-    known = price_by_code(prices)
-    coded = items.withColumn("ean", clean_ean(F.col("code"))).withColumn("unit_ean", unit_ean_of_dun14(F.col("ean")))
-    direct = known.select(F.col("ean").alias("__e1"), F.col("price").alias("__p1"))
-    unit = known.select(F.col("ean").alias("__e2"), F.col("price").alias("__p2"))
-    joined = coded.join(direct, F.col("ean") == F.col("__e1"), "left").join(unit, F.col("unit_ean") == F.col("__e2"), "left")
-    return joined.withColumn("table_price", F.coalesce("__p1", "__p2")).withColumn("kind", F.when(F.col("table_price").isNotNull(), F.lit("EAN"))).drop("__e1", "__p1", "__e2", "__p2", "unit_ean")
+    found = code_prices(items.select("code").distinct(), prices).withColumnRenamed("code", "__code")
+    joined = items.join(found, F.col("code") == F.col("__code"), "left").drop("__code")
+    return joined.withColumns({"ean": F.coalesce("ean", F.lit("")), "kind": F.when(F.col("table_price").isNotNull(), F.lit("EAN"))})
 
 
 def cheaper(found: Column, current: Column) -> Column:

@@ -5,7 +5,7 @@ NOW and EVENTS_NOW stand for the present of orders and of events: no query reads
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mercadia.functions.codes import dun14_check, ean13_check
@@ -17,14 +17,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _with_code(df: DataFrame, key: str) -> DataFrame:
-    core = F.concat(F.lit("789"), F.lpad(F.col(key).cast("string"), 9, "0"))
-    return df.withColumn("core", core).withColumn("full_ean", F.concat("core", ean13_check(F.col("core")).cast("string")))
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if its files make fewer splits than there are; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def _ean(key: str) -> tuple[Column, Column]:
+    """The first twelve digits of a part's code, and the code."""
+    core = (F.lit(789 * 10**9) + F.col(key)).cast("string")
+    return core, F.concat(core, ean13_check(core).cast("string"))
 
 
 def price_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(row_no, ean, name, price, p_name, p_brand, p_type, p_size): one price table."""
-    part = _with_code(table(spark, sf_dir, "part"), "p_partkey")
+    part = table(spark, sf_dir, "part").withColumn("full_ean", _ean("p_partkey")[1])
     name = F.upper(F.concat_ws(" ", "p_name", "p_brand"))
     return part.select(F.col("p_partkey").alias("row_no"), F.col("full_ean").alias("ean"), name.alias("name"), F.col("p_retailprice").alias("price"), "p_name", "p_brand", "p_type", "p_size")
 
@@ -34,11 +41,11 @@ ITEM_ID = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedpr
 
 def quote_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ITEM_ID, code (plain, of a package, with dashes, or null) and the current price, or null."""
-    line = _with_code(table(spark, sf_dir, "lineitem"), "l_partkey")
-    package = F.concat(F.lit("1"), F.col("core"))
-    dashed = F.concat_ws("-", F.substring("full_ean", 1, 3), F.substring("full_ean", 4, 6), F.substring("full_ean", 10, 4))
+    core, full = _ean("l_partkey")
+    line, full, package = spread(table(spark, sf_dir, "lineitem").select(*ITEM_ID, "l_quantity")).withColumn("full", full), F.col("full"), F.concat(F.lit("1"), core)
+    dashed = F.concat_ws("-", F.substring(full, 1, 3), F.substring(full, 4, 6), F.substring(full, 10, 4))
     kind = F.col("l_linenumber") % 4
-    code = F.when(kind == 1, F.col("full_ean")).when(kind == 2, F.concat(package, dun14_check(package).cast("string"))).when(kind == 3, dashed)
+    code = F.when(kind == 1, full).when(kind == 2, F.concat(package, dun14_check(package).cast("string"))).when(kind == 3, dashed)
     current = F.when(F.col("l_linenumber") % 3 != 0, F.col("l_extendedprice") / F.col("l_quantity"))
     return line.select(*ITEM_ID, code.alias("code"), current.alias("current"))
 
