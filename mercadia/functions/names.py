@@ -273,38 +273,69 @@ FRAGRANCES = (
 )
 
 
+#: Kinds of which a name can be of one in each group; fixed values. Groups of one kind, which exclude nothing, are left out.
+SUBTYPES = (
+    ("SACARINA", "SUCRALOSE", "STEVIA", "XILITOL", "FRUTOSE", "CICLAMATO", "ERITRITOL"),
+    ("POTE", "COPO", "BALDE", "BISNAGA", "FRASCO"),
+    ("SACHE", "SACHET", "SACHÊ", "POUCH", "REFIL", "REFILL"),
+    ("AEROSSOL", "AEROSOL", "SPRAY"),
+    ("STICK", "BASTAO", "BASTÃO"),
+    ("DESOD AERO", "DESOD ROL", "DESOD CR", "DES SPRAY"),
+    ("SUAVE", "INTENSO"),
+    ("DIA A DIA", "DIAADI"),
+    (" VD ", " VIDRO ", " LT ", " LATA ", " PET "),
+    ("NEW WAFF", "WAFER"),
+    ("DIPLOMATA", "ALPINO", "CRUNCH", "GALAK", "SUFLAIR", "CHARGE", "CHOKITO", "PRESTIGIO", "KIT KAT", "KITKAT", "TALENTO", "SERENATA", "BATON", "SONHO DE VALSA", "OURO BRANCO", "DIAMANTE NEGRO", "LAKA", "SHOT", "AMARO", "FIVE STAR", "BISAO", "TRENTO", "AO LEITE", "MEIO AMARGO", "BRANCO", "CROCANTE", "RECH"),
+    ("SOJA", "CANOLA", "GIRASSOL", "MILHO"),
+    ("COB SORV", "PO SORVETE"),
+    ("SOLUVEL", "SOL"),
+    ("LAVA ROUPA PO", "LAVA ROUPA LIQ"),
+    ("40%", "60%", "70%", "80%", "85%", "90%", "95%"),
+    ("INTEGRAL", "SEMIDESNATADO", "SEMI", "DESNATADO", "0% LACTOSE", "ZERO LACTOSE", "Z LAC"),
+    ("LIGHT", "S/ACUC", "SEMACUCAR", "ZERO"),
+    ("SOLIDO", "PEDACO", "RALADO"),
+    ("OLEO", "NATURAL", "TOMATE"),
+    ("DESINF", "DESINFETANTE", "MULTIUSO", "LIMP M U", "DESENG", "DESENGORDURANTE", "BANHEIRO", "LV LOUCA"),
+    ("SUPREME", "TQ SEDA", "TOQ SEDA"),
+    ("FOLHA DUPLA", "FOLHA SIMPLES", "F DUPLA", "F SIMPLES"),
+    ("ALUM", "ALUMINIO", "MANTEIGA", "SULF"),
+    ("PASTA", "BARRA", "PO", "LIQ"),
+    ("RN", "PP", "XP"),
+    ("JUMBO", "HIPER", "MEGA", "GIGA", "ECONOM"),
+    ("FILTRO", "FILME"),
+    ("MAIONESE", "KETCHUP", "MOSTARDA"),
+    ("POLPA TOM", "MOL TOM", "EXTR TOM"),
+    ("PARAF", "SPAG", "CURTO", "PENNE", "ESPAGUETE", "GRAVATA", "AVE MARIA", "FUSILLI", "FETTUCCINE", "LASANHA"),
+    ("TOMATE PELADO", "MOL TOM", "EXTR TOM", "POLPA TOM"),
+    ("INSET", "LIMP", "DESINF"),
+    ("FRALDA", "PAPEL HIG"),
+    ("FRAL", "PAPEL HIG"),
+    ("VODKA", "APERITIVO", "CACHAC", "AGUARD", "CONHAQUE", "WHISKY"),
+    ("BEB", "VODKA", "APERITIVO", "CACHAC", "AGUARD", "CONHAQUE", "WHISKY", "CERV", "VIN"),
+    ("FIO DENT", "ESC DENT", "CR DENTAL", "CR D"),
+    ("TORRADA", "BISC", "PAO"),
+    ("BISC", "SALG", "BATATA", "TORRADA", "CHICLE", "BALA", "PAST"),
+    ("MAC INS", "MACAR"),
+    ("ARROZ", "FEIJAO"),
+    ("COPO", "POTE", "PRATO", "DES", "DESOD"),
+    ("CERA", "REMOVEDOR", "QUEROSENE", "DESINF", "LIMP", "SAPON"),
+    ("TOALHA", "PAPEL HIG", "LENCO UMED"),
+    ("PARBOILIZADO", "PARBO"),
+    ("CARIOCA", "PRETO", "FRADINHO", "JALO", "BRANCO", "VERMELHO"),
+    ("LN", "LONGNECK", "LONG NECK"),
+    ("LUMINOUS WHITE", "MPA", "TOTAL12", "NAT", "NEUTRACUCAR", "SENSIVEL", "TRIPLA ACAO", "WHITENING", "ANTICARIE", "MAXFRESH", "EXTRAFRESH"),
+    ("SOLEIL", "SENSITIVE", "INTENSITY", "COMFORT", "VENUS", "PRESTOBARBA"),
+    ("ALC", "ALCALINA", "COMUM"),
+)
+
+
 @dataclass(frozen=True)
 class BrandRules:
     """Which brands a category has; a category without a row of its own is unknown to the locks."""
 
     brands: tuple[tuple[str, str], ...] = ()
     #: Groups of kinds that exclude one another, each group in order.
-    subtypes: tuple[tuple[str, ...], ...] = field(
-        default=(
-            ("SACARINA", "SUCRALOSE", "STEVIA", "XILITOL", "FRUTOSE", "CICLAMATO", "ERITRITOL"),
-            ("POTE", "COPO", "BALDE", "BISNAGA", "FRASCO"),
-            ("SUAVE", "INTENSO"),
-            ("NEW WAFF", "WAFER"),
-            ("SOJA", "CANOLA", "GIRASSOL", "MILHO"),
-            ("COB SORV", "PO SORVETE"),
-            ("LAVA ROUPA PO", "LAVA ROUPA LIQ"),
-            ("INTEGRAL", "SEMIDESNATADO", "SEMI", "DESNATADO", "ZERO LACTOSE", "Z LAC"),
-            ("SOLIDO", "PEDACO", "RALADO"),
-            ("OLEO", "NATURAL", "TOMATE"),
-            ("FOLHA DUPLA", "FOLHA SIMPLES", "F DUPLA", "F SIMPLES"),
-            ("PASTA", "BARRA", "PO", "LIQ"),
-            ("JUMBO", "HIPER", "MEGA", "GIGA", "ECONOM"),
-            ("FILTRO", "FILME"),
-            ("MAIONESE", "KETCHUP", "MOSTARDA"),
-            ("POLPA TOM", "MOL TOM", "EXTR TOM"),
-            ("PARAF", "SPAG", "CURTO", "PENNE", "ESPAGUETE", "GRAVATA", "AVE MARIA", "FUSILLI", "FETTUCCINE", "LASANHA"),
-            ("VODKA", "APERITIVO", "CACHAC", "AGUARD", "CONHAQUE", "WHISKY"),
-            ("TORRADA", "BISC", "PAO"),
-            ("ARROZ", "FEIJAO"),
-            ("CARIOCA", "PRETO", "FRADINHO", "JALO", "BRANCO", "VERMELHO"),
-            ("ALC", "ALCALINA", "COMUM"),
-        )
-    )
+    subtypes: tuple[tuple[str, ...], ...] = SUBTYPES
 
     @property
     def categories(self) -> tuple[str, ...]:
@@ -314,9 +345,15 @@ class BrandRules:
         return tuple(sorted({b for c, b in self.brands if c in categories}))
 
     @staticmethod
-    def from_table(table: DataFrame) -> BrandRules:
-        """From rows (category, brand)."""
-        return BrandRules(tuple(sorted({(r["category"], r["brand"]) for r in _rows(table, "category", "brand")})))
+    def from_table(table: DataFrame, groups: DataFrame | None = None) -> BrandRules:
+        """From rows (category, brand), and rows (group_no, position, kind) of kinds that exclude one another."""
+        brands = tuple(sorted({(r["category"], r["brand"]) for r in _rows(table, "category", "brand")}))
+        if groups is None:
+            return BrandRules(brands)
+        found: dict = {}
+        for r in sorted(_rows(groups, "group_no", "position", "kind"), key=lambda r: (r["group_no"], r["position"])):
+            found.setdefault(r["group_no"], []).append(r["kind"])
+        return BrandRules(brands, tuple(map(tuple, found.values())))
 
 
 def _words(values) -> Column:
@@ -348,6 +385,16 @@ def _canonical(categories: Column, more: tuple[tuple[str, str], ...] = ()) -> Co
     return F.array_distinct(F.transform(categories, lambda c: F.coalesce(F.try_element_at(same, c), c)))
 
 
+def _kinds(name: Column, groups: tuple[tuple[str, ...], ...]) -> Column:
+    """Of each group the first kind in its order that a name holds, or null: as a substring if it has a blank, else as a word."""
+    letters = F.regexp_replace(name, "[^A-Z0-9]", " ")
+    listed = F.array(*[F.array(*[F.struct(F.lit(k).alias("k"), F.lit(f" {k} " if k.isalnum() and k.isascii() else "").alias("w")) for k in g]) for g in groups if len(g) > 1])
+    padded = F.concat(F.lit(" "), letters, F.lit(" "))
+    word = lambda k: F.concat(F.lit(r"(?<![A-Z0-9])\Q"), k, F.lit(r"\E(?![A-Z0-9])"))
+    held = lambda x: F.when(x["w"] != "", F.contains(padded, x["w"])).when(F.contains(x["k"], F.lit(" ")), F.contains(name, x["k"])).otherwise(F.rlike(name, word(x["k"])))
+    return F.transform(listed, lambda g: F.get(F.filter(g, held), F.lit(0))["k"])
+
+
 def name_features(name: Column, rules: BrandRules) -> Column:
     """All that the locks ask of a normal name, as one struct: worked out once a distinct name, not once a pair."""
     padded = F.concat(F.lit(" "), name, F.lit(" "))
@@ -376,6 +423,7 @@ def name_features(name: Column, rules: BrandRules) -> Column:
         F.array_distinct(F.concat(_all(name, r"\bC(\d+)\b", 1), _all(name, r"L(\d+)P", 1))).alias("packs_light"),
         package_counts(name).alias("counts"),
         _those(name, FRAGRANCES).alias("fragrances"),
+        _kinds(name, rules.subtypes).alias("kinds"),
     )
 
 

@@ -266,6 +266,22 @@ def deadline_alerts(campaigns: DataFrame, now: str, most: int = 3) -> DataFrame:
     return campaigns.where((F.coalesce("status", F.lit("")) != "inactive") & F.col("end_date").isNotNull()).withColumn("days_left", days).where(F.col("days_left").between(0, 3)).orderBy("days_left", "campaign_id").limit(most)
 
 
+def agenda_counts(entries: DataFrame, *by: str) -> DataFrame:
+    """Counts of agenda entries (status of agenda_status) by status."""
+    of = lambda s: F.count_if(F.col("status") == s).alias(s)
+    return entries.groupBy(*by).agg(F.count(F.lit(1)).alias("entries"), of("done"), of("overdue"), of("today"), of("upcoming"))
+
+
+def filter_values(rows: DataFrame, column: str, order: str) -> DataFrame:
+    """The distinct values of a column, without null and "", with their place in order of first appearance.
+
+    Values of a filter are few, so that their places come from one sorted list of them.
+    """
+    first = rows.where(F.coalesce(F.col(column).cast("string"), F.lit("")) != "").groupBy(column).agg(F.min(order).alias("__first"))
+    listed = first.agg(F.array_sort(F.collect_list(F.struct("__first", column))).alias("__all"))
+    return listed.select(F.posexplode("__all").alias("place", "__v")).select(F.col(f"__v.{column}").alias(column), F.col("place").cast("long").alias("place"))
+
+
 def by_industry_key(industries: DataFrame, imported: DataFrame) -> DataFrame:
     """industries (industry) with the imported rows (industry, ordinal, ...) whose names have the same words; the first one counts."""
     others = [c for c in imported.columns if c != "industry"]

@@ -48,6 +48,13 @@ def learned_image(images: DataFrame, user_id) -> DataFrame:
     return images.where("name <> ''").groupBy("name").agg(F.max_by("url", order).alias("url"))
 
 
+def with_metadata(items: DataFrame, about: DataFrame, defaults: dict[str, str]) -> DataFrame:
+    """Items (ean) with columns of about (ean, ...) by code, and the defaults where a code or value is unknown; of rows with one code the least counts."""
+    one = about.select(clean_ean_photo(F.col("ean")).alias("__e"), *defaults).where("__e <> ''").groupBy("__e").agg(F.min(F.struct(*defaults)).alias("__a"))
+    joined = items.withColumn("__k", clean_ean_photo(F.col("ean"))).join(one, F.col("__k") == F.col("__e"), "left")
+    return joined.withColumns({c: F.coalesce(F.nullif(F.col("__a")[c], F.lit("")), F.lit(d)) for c, d in defaults.items()}).drop("__k", "__e", "__a")
+
+
 # ---- image candidates ----
 #: Terms whose images are not wanted, and words that tell nothing; fixed values.
 BLOCKED_TERMS = ("PINTEREST", "FACEBOOK", "INSTAGRAM", "YOUTUBE", "TIKTOK", "RECEITA", "COMO FAZER", "UNBOXING", "REVIEW", "AVALIACAO", "ISTOCK", "ALAMY", "SHUTTERSTOCK", "PEXELS", "DREAMSTIME", "ADOBE", "VECTEEZY", "WIKIPEDIA", "WIKIMEDIA", "PDF", "MANUAL", "FOTO DE", "MAO", "HOLDING", "PESSOA")

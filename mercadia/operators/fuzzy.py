@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from mercadia.functions.names import BrandRules, first_word, longest_brand, name_features
 from mercadia.functions.similarity import name_ratios
 from mercadia.functions.text import sorted_words
-from mercadia.operators.locks import blocked, light_locks, strict_locks
+from mercadia.operators.locks import blocked, knowledge, light_locks, strict_locks
+from mercadia.operators.recognise import recognise
 
 #: Candidates of an item, and the least token-set ratio of one; a feature of the search.
 CANDIDATES, CUT_OFF = 40, 55.0
@@ -56,16 +57,25 @@ def candidates(items: DataFrame, prices: DataFrame, mode: str = "exact") -> Data
     return best.withColumn("score", F.greatest(sort, F.col("set")) / 100)
 
 
-def with_locks(found: DataFrame, rules: BrandRules) -> DataFrame:
+def with_locks(found: DataFrame, rules: BrandRules, known: DataFrame | None = None) -> DataFrame:
     """Candidates with the flags strict and light: whether locks of either kind block the pair.
 
-    Features are worked out once a distinct name and joined to the pairs.
+    Features are worked out once a distinct name and joined to the pairs. With a knowledge table (see
+    operators.recognise) both kinds also block pairs whose recognised products conflict.
     """
     names = found.select(F.col("quoted").alias("n")).union(found.select("name")).distinct()
-    featured = names.withColumn("features", name_features(F.col("n"), rules))
+    if known is None:
+        featured = names.select("n", name_features(F.col("n"), rules).alias("features"))
+    else:
+        fields = ("category", "brand", "flavour", "fragrance", "line", "confidence")
+        products = recognise(names.select(F.col("n").alias("text")), known).select(F.col("text").alias("n"), F.struct(*fields).alias("product"))
+        featured = names.join(products, "n", "left").select("n", name_features(F.col("n"), rules).withField("product", F.col("product")).alias("features"))
     out = found.join(featured.select(F.col("n").alias("quoted"), F.col("features").alias("fa")), "quoted").join(featured.select(F.col("n").alias("name"), F.col("features").alias("fb")), "name")
     strict = blocked(F.col("fa"), F.col("fb"), strict_locks(rules))
     light = blocked(F.col("fa"), F.col("fb"), light_locks(rules))
+    if known is not None:
+        conflict = F.coalesce(knowledge(F.col("fa.product"), F.col("fb.product")), F.lit(False))
+        strict, light = strict | conflict, light | conflict
     return out.withColumns({"strict": strict, "light": light}).drop("fa", "fb")
 
 
@@ -78,13 +88,13 @@ def tier_of(score: Column, strict: Column, light: Column, same_category: Column,
     )
 
 
-def match_names(items: DataFrame, prices: DataFrame, rules: BrandRules = BrandRules(), mode: str = "exact") -> DataFrame:
+def match_names(items: DataFrame, prices: DataFrame, rules: BrandRules = BrandRules(), mode: str = "exact", known: DataFrame | None = None) -> DataFrame:
     """The best candidate of the first tier that accepts any; of equal scores the one that ranks first.
 
     A candidate's tier doesn't depend on the others', so one aggregate by (tier, score, rank) replaces a
     cascade of joins.
     """
-    found = with_locks(candidates(items, prices, mode), rules)
+    found = with_locks(candidates(items, prices, mode), rules, known)
     same = first_word(F.col("quoted")) == first_word(F.col("name"))
     brand = longest_brand(F.col("quoted"), rules)
     has_brand = (brand == "") | F.contains(F.concat(F.lit(" "), F.col("name"), F.lit(" ")), F.concat(F.lit(" "), brand, F.lit(" ")))

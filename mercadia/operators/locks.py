@@ -34,10 +34,12 @@ FISH_CUTS = ("SOLIDO", "PEDACO", "RALADO")
 #: Words of variants of which two names must share one if both have any.
 VARIANTS = (
     "ABACAXI", "ACEROLA", "ACONCHEGO", "ALGODAO", "ALHO", "AMENDOA", "AMORA", "AZUL", "BABOSA", "BAMBU", "BANANA", "BAUNILHA", "BICARBONATO", "BIOTINA", "BRANCO", "BRISA", "CACAU", "CAJU", "CAMOMILA", "CAMPESTRE",
-    "CANELA", "CAPIM", "CAPPUCCINO", "CEREJA", "CHOCOLATE", "CITRICO", "CITRONELA", "CLEAR", "COCO", "COLONIA", "CRISTAL", "CUIDADO", "ERVA", "EUCAL", "EUCALIPTO", "FLOR", "FLORAL", "FRAMBOESA", "FRESCOR", "FRESH",
-    "GLICERINA", "GOIABA", "GRAPE", "GUARANA", "HIALURONICO", "HORTELA", "INVISIBLE", "JASMIM", "KARITE", "LARANJA", "LAVANDA", "LIMAO", "LIRIOS", "MACA", "MACIEZ", "MAMAE", "MANGA", "MARACUJA", "MARINE", "MEL",
-    "MELANCIA", "MENTA", "MICELAR", "MORANGO", "NEUTRO", "NOZES", "ORQUIDEA", "PESSEGO", "PIMENTA", "PINHO", "POWDER", "PRETO", "PRIMAVERA", "PURO", "RESTAURACAO", "ROSA", "ROSAS", "ROXO", "SEDA", "SPORT",
-    "SUPREME", "TALCO", "TANGERINA", "TURQUESA", "TUTTI", "UVA", "VERAO", "VERDE", "PICANTE", "VERMELHA", "VERMELHO", "AMARELA", "AMARELO", "INCOLOR", "DOURADO", "YOGURTE",
+    "CANELA", "CAPIM", "CAPPUCCINO", "CEREJA", "CHA", "CHOCOLATE", "CITRICO", "CITRONELA", "CLEAR", "COCO", "COLONIA", "CRISTAL", "CUIDADO", "ERVA", "EUCAL", "EUCALIPTO", "FLOR", "FLORAL", "FRAMBOESA", "FRESCOR",
+    "FRESH", "GLICERINA", "GOIABA", "GRAPE", "GUARANA", "HIALURONICO", "HORTELA", "INVISIBLE", "JASMIM", "KARITE", "LARANJA", "LAVANDA", "LIMAO", "LIRIOS", "MACA", "MACIEZ", "MAMAE", "MANGA", "MARACUJA", "MARINE",
+    "MEL", "MELANCIA", "MENTA", "MICELAR", "MORANGO", "NEUTRO", "NOZES", "ORQUIDEA", "PESSEGO", "PIMENTA", "PINHO", "POWDER", "PRETO", "PRIMAVERA", "PURO", "RESTAURACAO", "ROSA", "ROSAS", "ROXO", "SEDA",
+    "SPORT", "SUPREME", "TALCO", "TANGERINA", "TURQUESA", "TUTTI", "UVA", "VERAO", "VERDE", "PICANTE", "VERMELHA", "VERMELHO", "VERMELHAS", "VERMELHOS", "AMARELA", "AMARELO", "INCOLOR", "ARDOSIA", "DOURADO", "DOURADA",
+    "YOGURTE", "CANDY", "VANILLA", "FIERCE", "PASSION", "OCEAN", "ENERGY", "EXTREME", "DETOX", "CLASS", "VANILLE", "CARVA", "PROTECAO", "SECA", "SENSIVEL", "LOVE", "MOVING", "ALUM", "BLACK", "ACTIVE",
+    "INVISI", "HIDRATACAO", "CERAMIDAS", "NUTRICAO", "BOMBA", "BRILHO", "LISO", "CACHEADO", "ONDULADO", "FRIZZ", "RECONSTRUCAO",
 )
 #: Categories whose brand must be told on both sides or on neither.
 BRAND_REQUIRED = ("AGUA SANITARIA", "AGUA COCO", "ACUCAR", "ALGODAO", "AMAC", "AMIDO", "ANIL", "DESINF", "DETERGENTE LOUCA", "LAVA ROUPA", "LIMPADOR", "LIMPA VIDRO", "LUSTRA MOVEL", "FRAL", "INSET", "APAR", "ALCOOL", "SH", "COND", "CR TRAT", "CR LEITE", "SAB", "DESOD", "CREME DENTAL", "SALG", "BATATA", "LA ACO", "MAION", "COPO", "ERVILHA", "MILHO")
@@ -206,14 +208,9 @@ def brand_across_categories(a: Column, b: Column) -> Column:
     return F.exists(F.array_union(a["inside"], b["inside"]), lambda c: (_applied(a, c) != _applied(b, c)) & F.arrays_overlap(_of_category(a, c), _of_category(b, c)))
 
 
-def subtype(rules: BrandRules) -> Lock:
-    def lock(a: Column, b: Column) -> Column:
-        def kind(group: tuple[str, ...]) -> Callable[[Column], Column]:
-            return lambda x: F.coalesce(*[F.when(_in(x, k) if " " in k else _word(x, k), F.lit(k)) for k in group])
-
-        return reduce(lambda p, q: p | q, [F.coalesce(_differ(a, b, kind(g)), F.lit(False)) for g in rules.subtypes if len(g) > 1], F.lit(False))
-
-    return lock
+def subtype(a: Column, b: Column) -> Column:
+    """Different kinds of a group of which a name can be of one."""
+    return F.exists(F.zip_with(a["kinds"], b["kinds"], lambda x, y: F.coalesce(x != y, F.lit(False))), lambda d: d)
 
 
 def variant_words(rules: BrandRules) -> Lock:
@@ -406,7 +403,7 @@ def strict_locks(rules: BrandRules) -> dict[str, Lock]:
     """The locks of the first and third tier, by name."""
     own = (pack_size, flavour, olive_oil_line, milk_kind, light_sauce, sachet_or_pot, carton_or_glass, alcohol, deodorant_for, diaper_size, corn_and_peas, starch)
     named = {f.__name__: f for f in (*_SAFE, *_BOTH, *own)}
-    return named | {"weight": lambda a, b: weight(a, b, ("LA ACO",)), "subtype": subtype(rules), "variant_words": variant_words(rules)}
+    return named | {"weight": lambda a, b: weight(a, b, ("LA ACO",)), "subtype": subtype, "variant_words": variant_words(rules)}
 
 
 def light_locks(rules: BrandRules) -> dict[str, Lock]:

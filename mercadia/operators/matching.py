@@ -115,6 +115,12 @@ def review_status(kind: Column) -> Column:
     return F.when(kind.isNull(), F.lit("no_match")).when(kind.isin("EAN", "LEARNED"), F.lit("approved")).otherwise(F.lit("pending"))
 
 
+def review_counts(results: DataFrame, *by: str) -> DataFrame:
+    """Counts of results (kind) by review status."""
+    of = lambda s: F.count_if(review_status(F.col("kind")) == s).alias(s)
+    return results.groupBy(*by).agg(F.count(F.lit(1)).alias("total"), of("approved"), of("pending"), of("no_match"))
+
+
 def match_stats(results: DataFrame, *by: str) -> DataFrame:
     """Counts of results (price, kind) by kind."""
     found, kind = F.col("price").isNotNull(), F.col("kind")

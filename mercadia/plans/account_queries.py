@@ -129,10 +129,12 @@ def q_trial_rescues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return billing.trial_rescues(subscriptions(spark, sf_dir), NOW).select("user_id")
 
 
-@query(f"WITH {_USERS} SELECT user_id, idle_days FROM followed WHERE status = 'active' AND idle_days >= 7 ORDER BY last_tool_at, user_id LIMIT 50")
+@query(f"""WITH {_USERS} SELECT user_id, greatest(0, CAST(floor(epoch(now + INTERVAL 14 DAY - last_tool_at) / 86400) AS INTEGER)) AS idle_days FROM followed
+    WHERE status = 'active' AND last_tool_at <= now + INTERVAL 7 DAY ORDER BY last_tool_at, user_id LIMIT 50""")
 def q_inactive_subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = _users(spark, sf_dir)
-    return billing.inactive_subscribers(users.drop("last_tool_at"), users.select("user_id", "last_tool_at"), NOW).select("user_id", "idle_days")
+    # two weeks later, when everyone's last use is some days ago
+    return billing.inactive_subscribers(users.drop("last_tool_at"), users.select("user_id", "last_tool_at"), "2001-08-15 00:00:00").select("user_id", "idle_days")
 
 
 @query(f"""WITH {_ACTIVITY}, {SQL_SUBSCRIPTIONS}, s AS (SELECT o_custkey AS user_id, count(*) AS n, max(o_orderdate) AS t_at FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), u AS (SELECT o_custkey AS user_id, count(*) AS n, max(o_orderdate) AS t_at FROM orders WHERE o_orderstatus = 'O' GROUP BY 1),
@@ -206,11 +208,11 @@ def q_cleanup_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", merge.job_expired(status, t_at, F.col("o_orderkey") % 10 == 0, now).alias("job_expired"), merge.expired(t_at, merge.TABLE_TTL, now).alias("table_expired"))
 
 
-@query("SELECT p_partkey AS file_id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '2000-01-01') AND p_partkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+@query("SELECT p_partkey AS file_id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-07-20') AND p_partkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '2001-07-20')")
 def q_orphan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file_id"))
-    used = table(spark, sf_dir, "lineitem").where("l_shipdate >= '2000-01-01'").select(F.col("l_partkey").alias("file_id"))
-    jobs = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("file_id"))
+    used = table(spark, sf_dir, "lineitem").where("l_shipdate >= '2001-07-20'").select(F.col("l_partkey").alias("file_id"))
+    jobs = table(spark, sf_dir, "orders").where("o_orderdate >= '2001-07-20'").select(F.col("o_custkey").alias("file_id"))
     return merge.orphans(files, used, jobs)
 
 
@@ -261,9 +263,9 @@ def q_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", redact_detail(F.col("text")).alias("detail"), hash_identifier(F.col("source"), "salt").alias("source_hash"))
 
 
-@query(f"WITH {SQL_AUDIT} SELECT event_id, action, '[redacted]' AS token, job_id AS job FROM audit WHERE user_id % 10 = 1")
+@query(f"WITH {SQL_AUDIT} SELECT event_id, action, '[redacted]' AS token, job_id AS job FROM audit")
 def q_audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = audit(spark, sf_dir).where("user_id % 10 = 1").withColumn("m", F.create_map(F.lit("Access-Token"), F.lit("abc"), F.lit("job"), F.col("job_id")))
+    e = audit(spark, sf_dir).withColumn("m", F.create_map(F.lit("Access-Token"), F.lit("abc"), F.lit("job"), F.col("job_id")))
     clean = clean_metadata(F.col("m"))
     return e.select("event_id", "action", clean["Access-Token"].alias("token"), clean["job"].alias("job"))
 

@@ -98,14 +98,15 @@ def q_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _month(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    sales = o.select(F.col("o_custkey").alias("client_id"), F.col("o_orderdate").alias("day"), F.col("o_totalprice").cast("decimal(18,2)").alias("value")).where(F.col("client_id") % 2 == 0)
+    billed = o.where("o_orderstatus = 'F'")
+    sales = billed.select(F.col("o_custkey").alias("client_id"), F.col("o_orderdate").alias("day"), F.col("o_totalprice").cast("decimal(18,2)").alias("value"))
     last = o.groupBy(F.col("o_custkey").alias("client_id")).agg(F.max("o_orderdate").alias("last_sale_date"), F.max(F.struct("o_orderdate", F.col("o_totalprice").cast("decimal(18,2)").alias("v"))).getField("v").alias("last_sale_value"))
     return campaign.month_sales(clients(spark, sf_dir).join(last, "client_id", "left"), sales, "2001-07-15 00:00:00")
 
 
 _SQL_MONTH = """month_sales AS (
     SELECT client_id, CAST(CASE WHEN v > 0 THEN v WHEN date_trunc('month', last_sale_date) = DATE '2001-07-01' THEN last_sale_value ELSE 0 END AS DOUBLE) AS month_value
-    FROM clients LEFT JOIN (SELECT o_custkey AS client_id, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS v FROM orders WHERE o_custkey % 2 = 0 AND date_trunc('month', o_orderdate) = DATE '2001-07-01' GROUP BY 1) USING (client_id)
+    FROM clients LEFT JOIN (SELECT o_custkey AS client_id, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS v FROM orders WHERE o_orderstatus = 'F' AND date_trunc('month', o_orderdate) = DATE '2001-07-01' GROUP BY 1) USING (client_id)
     LEFT JOIN (SELECT o_custkey AS client_id, o_orderdate AS last_sale_date, CAST(o_totalprice AS DECIMAL(18,2)) AS last_sale_value FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_totalprice DESC) AS r FROM orders) WHERE r = 1) USING (client_id))"""
 
 
@@ -134,29 +135,46 @@ def q_central_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.orderBy(*campaign.central_order()).limit(100).select("client_id", "priority", "status", "missing")
 
 
-@query(f"""WITH {SQL_CAMPAIGN} SELECT client_id, CASE WHEN status = 'partial' AND missing BETWEEN 1 AND 2 THEN -10000.0::DOUBLE ELSE 0 END + CASE WHEN has_phone THEN -1000 ELSE 0 END - completion + missing * 3 AS smart
+#: The campaign with one product an industry: all that an industry sells.
+_SQL_INDUSTRIES = SQL_CAMPAIGN.replace("p_type AS product", "p_brand AS product")
+
+
+def _industry_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = products(spark, sf_dir).groupBy("industry", F.col("industry").alias("product")).agg(F.min("ordinal").alias("ordinal"))
+    bought = sold(spark, sf_dir).groupBy("client_id", "industry", F.col("industry").alias("product")).agg(F.sum("value").alias("value"))
+    return campaign.client_status(clients(spark, sf_dir), whole, bought)
+
+
+@query(f"""WITH {_SQL_INDUSTRIES} SELECT client_id, CASE WHEN status = 'partial' AND missing BETWEEN 1 AND 2 THEN -10000.0::DOUBLE ELSE 0 END + CASE WHEN has_phone THEN -1000 ELSE 0 END - completion + missing * 3 AS smart
     FROM statuses WHERE city = 'NATION_3' AND status <> 'complete' AND completion >= 60""")
 def q_client_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = campaign.filtered(_statuses(spark, sf_dir), city="NATION_3", neighbourhood="all").where(campaign.opportunity("almost_done"))
+    s = campaign.filtered(_industry_statuses(spark, sf_dir), city="NATION_3", neighbourhood="all").where(campaign.opportunity("almost_done"))
     return s.select("client_id", campaign.smart_score(F.col("status"), F.col("missing"), F.col("completion"), F.col("has_phone")).alias("smart"))
 
 
-@query(f"WITH {SQL_CAMPAIGN} SELECT industry, product FROM products ANTI JOIN (SELECT industry, product FROM sold WHERE client_id % 50 = 7) AS s USING (industry, product)")
+@query(f"""WITH {SQL_CAMPAIGN}, news AS (SELECT industry, product || ' NEW' AS product FROM products WHERE ordinal % 7 = 0), every AS (SELECT industry, product FROM products UNION ALL SELECT industry, product FROM news)
+    SELECT industry, product FROM every ANTI JOIN sold USING (industry, product)""")
 def q_zero_sale_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return campaign.zero_sale_products(products(spark, sf_dir), sold(spark, sf_dir).where("client_id % 50 = 7")).select("industry", "product")
+    """A campaign with products that came out after its sales."""
+    own = products(spark, sf_dir)
+    news = own.where("ordinal % 7 = 0").withColumn("product", F.concat("product", F.lit(" NEW")))
+    return campaign.zero_sale_products(own.unionByName(news), sold(spark, sf_dir)).select("industry", "product")
+
+
+_LARGE = 100000
 
 
-@query(f"WITH {SQL_CAMPAIGN} SELECT client_id FROM clients ANTI JOIN (SELECT client_id FROM sold WHERE industry = 'Brand#3') AS s USING (client_id)")
+@query(f"WITH {SQL_CAMPAIGN} SELECT client_id FROM clients ANTI JOIN (SELECT client_id FROM sold WHERE value >= {_LARGE}) AS s USING (client_id)")
 def q_idle_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return campaign.idle_clients(clients(spark, sf_dir), products(spark, sf_dir).where("industry = 'Brand#3'"), sold(spark, sf_dir)).select("client_id")
+    """Clients without a large sale."""
+    return campaign.idle_clients(clients(spark, sf_dir), products(spark, sf_dir), sold(spark, sf_dir).where(F.col("value") >= _LARGE)).select("client_id")
 
 
-@query(f"""WITH {SQL_CAMPAIGN}, p AS (SELECT * FROM products WHERE industry IN ('Brand#1', 'Brand#2')), s AS (SELECT client_id, industry, product, 1 AS bought FROM sold)
+@query(f"""WITH {SQL_CAMPAIGN}, s AS (SELECT client_id, industry, product, 1 AS bought FROM sold)
     SELECT c.client_id, coalesce(string_agg(CASE WHEN bought IS NULL THEN p.product END, ',' ORDER BY ordinal), '') AS missing_products
-    FROM clients c CROSS JOIN p LEFT JOIN s ON s.client_id = c.client_id AND s.industry = p.industry AND s.product = p.product GROUP BY 1""")
+    FROM clients c CROSS JOIN products p LEFT JOIN s ON s.client_id = c.client_id AND s.industry = p.industry AND s.product = p.product GROUP BY 1""")
 def q_missing_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = products(spark, sf_dir).where("industry IN ('Brand#1', 'Brand#2')")
-    out = campaign.missing_products(clients(spark, sf_dir).select("client_id"), own, sold(spark, sf_dir))
+    out = campaign.missing_products(clients(spark, sf_dir).select("client_id"), products(spark, sf_dir), sold(spark, sf_dir))
     return out.select("client_id", F.concat_ws(",", "missing_products").alias("missing_products"))
 
 

@@ -251,7 +251,7 @@ def q_fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_locks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many candidate pairs each lock blocks."""
     rules = brand_rules(spark, sf_dir)
-    found = fuzzy.pairs(_quoted(spark, sf_dir), _names(spark, sf_dir), "blocked").select("quoted", "name").distinct()
+    found = fuzzy.pairs(_quoted(spark, sf_dir), _names(spark, sf_dir)).select("quoted", "name").distinct()
     names = found.select(F.col("quoted").alias("n")).union(found.select("name")).distinct().withColumn("f", name_features(F.col("n"), rules))
     both = found.join(names.select(F.col("n").alias("quoted"), F.col("f").alias("a")), "quoted").join(names.select(F.col("n").alias("name"), F.col("f").alias("b")), "name")
     locks = light_locks(rules) | strict_locks(rules)
@@ -281,6 +281,6 @@ def q_image_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     p = price_rows(spark, sf_dir)
     n = p.agg(F.max("row_no").alias("m"))
-    c = pages.crossJoin(F.broadcast(n)).select((F.col("page_id") % (F.col("m") + 1)).alias("row_no"), "page_id", F.col("url").alias("image_url"), F.lit(None).cast("string").alias("thumb_url"), F.substring_index(F.coalesce("html", F.lit("")), "</title>", 1).alias("text"), (F.col("page_id") % 900).alias("width"), (F.col("page_id") % 700).alias("height"), (F.col("page_id") % 20).alias("rank"))
+    c = pages.crossJoin(F.broadcast(n)).select((F.col("page_id") % (F.col("m") + 1)).alias("row_no"), "page_id", F.col("url").alias("image_url"), F.lit(None).cast("string").alias("thumb_url"), F.coalesce("html", F.lit("")).alias("text"), (F.col("page_id") % 900).alias("width"), (F.col("page_id") % 700).alias("height"), (F.col("page_id") % 20).alias("rank"))
     scored = catalogue.image_candidates(c.join(p.select("row_no", F.col("name").alias("product")), "row_no"))
     return scored.select("page_id", "product", "score", "blocked", F.concat_ws(",", "flags").alias("flags"), "review")

@@ -1,4 +1,4 @@
-"""Rules with state over streams, each with a batch twin that gives the same rows.
+"""Rules with state over streams. Each has a batch twin that gives the same rows when the stream is in order.
 
 Requests, payments and changes are streams of rows; what a rule remembers lives in Spark's state store, so
 that it outlives executors and restarts with the checkpoint.
@@ -80,19 +80,29 @@ def rate_limit_stream(calls: DataFrame, most: int, window: float) -> DataFrame:
 
 
 # ---- payment events ----
-def merge_payments(log_path: str, out_path: str):
+#: Folders of users that a log of payments is divided into.
+BUCKETS = 64
+
+
+def merge_payments(log_path: str, out_path: str, buckets: int = BUCKETS):
     """A foreachBatch function: appends a batch of payment events to a log and rewrites the users it touches.
 
-    The log is the truth; a batch that is delivered again is recognised by event_id. `out_path` holds one
+    The log is the truth; a batch that is delivered again is recognised by event_id. It is divided by a hash of
+    the user, so that a batch reads the folders of the users it touches, not the whole log. `out_path` holds one
     folder a batch, each with the new states of the users touched: read them with `current_states`.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
-        log = spark.read.parquet(log_path).dropDuplicates(["event_id"])
-        touched = log.join(batch.select("user_id").distinct(), "user_id", "left_semi")
-        subscription_after(touched).withColumn("version", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out_path}/v={batch_id}")
+        bucket = F.pmod(F.xxhash64("user_id"), F.lit(buckets)).cast("int")
+        written = batch.withColumn("bucket", bucket)
+        written.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(log_path)
+        users = written.select("bucket", "user_id").distinct()
+        # at most `buckets` numbers: they prune the folders that are read
+        touched = [r["bucket"] for r in users.select("bucket").distinct().collect()]
+        log = spark.read.schema(f"{batch.schema.simpleString()[7:-1]}, bucket int, batch long").parquet(log_path).where(F.col("bucket").isin(touched))
+        own = log.join(users.select("user_id"), "user_id", "left_semi").dropDuplicates(["event_id"]).select(*batch.columns)
+        subscription_after(own).withColumn("version", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out_path}/v={batch_id}")
 
     return merge
 
@@ -101,14 +111,36 @@ def current_states(states: DataFrame) -> DataFrame:
     return latest(states, ["user_id"], "version").drop("version", "v")
 
 
-def first_use_stream(uses: DataFrame, delay: str) -> DataFrame:
-    """The first reservation of each one-time code: duplicates within the delay are dropped by the state store."""
-    return uses.withWatermark("at", delay).dropDuplicatesWithinWatermark(["code"])
+def first_use_stream(uses: DataFrame) -> DataFrame:
+    """uses (code, user_id, at, use_id) of one-time codes with outcome: created, reused (by the same user) or refused.
+
+    Who used a code first stays in the state store for good: a code is never free again. Of uses that arrive
+    together, up to an Arrow batch of them, the earliest comes first; one that comes later doesn't take back
+    what was decided before it. Equals billing.first_reservations when the stream is in order.
+    """
+    types = {f.name: f.dataType.simpleString() for f in uses.schema}
+
+    def group(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            first = state.get[0] if state.exists else pdf.sort_values(["at", "use_id"])["user_id"].iloc[0]
+            fresh = None if state.exists else pdf.sort_values(["at", "use_id"])["use_id"].iloc[0]
+            state.update((first,))
+            outcome = ["created" if fresh is not None and u == fresh else "reused" if w == first else "refused" for u, w in zip(pdf["use_id"], pdf["user_id"])]
+            yield pdf[["code", "user_id", "use_id"]].assign(outcome=outcome)
+
+    slim = uses.select("code", "user_id", "at", "use_id")
+    return slim.groupBy("code").applyInPandasWithState(group, f"code {types['code']}, user_id {types['user_id']}, use_id {types['use_id']}, outcome string", f"first {types['user_id']}", "append", GroupStateTimeout.NoTimeout)
 
 
 def expiring_sessions(sessions: DataFrame, gap: str, delay: str) -> DataFrame:
     """Sessions by user that end after a gap without events: the state goes when the watermark passes their end."""
-    return sessions.withWatermark("at", delay).groupBy("user_id", F.session_window("at", gap)).agg(F.count(F.lit(1)).alias("events"))
+    return session_counts(sessions.withWatermark("at", delay), gap)
+
+
+def session_counts(sessions: DataFrame, gap: str) -> DataFrame:
+    """The same of a batch: (user_id, first_at, last_at, events), last_at being the gap after the last event."""
+    found = sessions.groupBy("user_id", F.session_window("at", gap).alias("session")).agg(F.count(F.lit(1)).alias("events"))
+    return found.select("user_id", F.col("session.start").alias("first_at"), F.col("session.end").alias("last_at"), "events")
 
 
 def live_totals(changes: DataFrame) -> DataFrame:
