@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from mercadia.operators.billing import subscription_after
 from mercadia.operators.matching import latest
@@ -100,7 +101,7 @@ def merge_payments(log_path: str, out_path: str, buckets: int = BUCKETS):
         users = written.select("bucket", "user_id").distinct()
         # at most `buckets` numbers: they prune the folders that are read
         touched = [r["bucket"] for r in users.select("bucket").distinct().collect()]
-        log = spark.read.schema(f"{batch.schema.simpleString()[7:-1]}, bucket int, batch long").parquet(log_path).where(F.col("bucket").isin(touched))
+        log = spark.read.schema(StructType([*batch.schema.fields, StructField("bucket", IntegerType()), StructField("batch", LongType())])).parquet(log_path).where(F.col("bucket").isin(touched))
         own = log.join(users.select("user_id"), "user_id", "left_semi").dropDuplicates(["event_id"]).select(*batch.columns)
         subscription_after(own).withColumn("version", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out_path}/v={batch_id}")
 
