@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir); what it returns is written as Parquet and reread as the next one's
 docs. All but the last return the columns of documents.
+
+Edge cases, in every stage: null and empty texts are kept by the filters and unchanged by the rest; rows with a
+null doc_id are documents like others; rows that are equal in id and text are one document to drop_near_duplicates,
+which keeps one of them, and are treated alike elsewhere; documents of any length are read whole; an empty table
+gives an empty one; other columns stay as they are, whatever their names. Only hide_secrets changes a text, and
+n_chars with it. mix_sources returns a row for every row it is given.
 """
 
 from __future__ import annotations

@@ -1,6 +1,8 @@
 """Decontamination, secrets and mixing against brute force."""
 
 import hashlib
+import itertools
+import random
 import re
 import time
 from collections import defaultdict
@@ -233,6 +235,44 @@ def test_flow_over_overlaps():
     assert mixing.flow({(): 5, ("a",): 0}, {"a": 0}) == {(): 0, ("a",): 0}
 
 
+def test_mixing_by_components_equals_the_driver(spark, sf):
+    some = spark.createDataFrame([(i, "w " * (i % 9), [["x", "y"], ["x"], ["y", None], ["z"], ["q", "z"], [], [f"s{i % 20}"]][i % 7]) for i in range(400)], "doc_id long, text string, m array<string>")
+    for docs, sources in ((table(spark, sf, "documents"), None), (documents(spark), None), (some, F.col("m"))):
+        assert rows(mixing.mix(docs, sources, here=0)) == rows(mixing.mix(docs, sources))
+
+
+def brute_flow(patterns, quotas, copies=2):
+    """The largest flow and its least cost, by trying every split of every pattern's words."""
+    best = None
+    names = list(patterns)
+
+    def go(k, left, taken, cost):
+        nonlocal best
+        if k == len(names):
+            key = (-taken, cost)
+            best = key if best is None else min(best, key)
+            return
+        p, words = names[k], patterns[names[k]]
+        for split in itertools.product(*[range(min(left[s], copies * words) + 1) for s in p]):
+            n = sum(split)
+            if n <= copies * words:
+                go(k + 1, left | {s: left[s] - x for s, x in zip(p, split)}, taken + n, cost + sum(range(copies)[i // words] for i in range(n)))
+
+    go(0, quotas, 0, 0)
+    return -best[0], best[1]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_flow_is_the_largest_and_cheapest(seed):
+    rng = random.Random(seed)
+    sets = [("a",), ("b",), ("c",), ("a", "b"), ("b", "c"), ("a", "c")]
+    patterns = {p: rng.randint(1, 3) for p in rng.sample(sets, 4)}
+    quotas = {s: rng.randint(0, 5) for s in "abc"}
+    got = mixing.flow(patterns, quotas)
+    cost = sum(sum(i // patterns[p] for i in range(n)) for p, n in got.items())
+    assert (sum(got.values()), cost) == brute_flow(patterns, quotas)
+
+
 def test_mixing_overlaps(spark):
     docs = spark.createDataFrame([(i, "a b c d", ["x", "y"] if i % 3 == 0 else ["x"] if i % 3 == 1 else ["y", None]) for i in range(300)], "doc_id long, text string, m array<string>")
     got = mixing.mix(docs, F.col("m"))
