@@ -17,10 +17,12 @@ from mercadia.functions.text import as_text, offer_key
 
 #: Package units of lists; fixed values.
 UNITS = "CX|FD|SC|TP|PC|PCT|BD|DR|VD|LT|CJ|PT|FRS|PTE|RL|TB|GF|GL|KG|UN|EMB"
+#: Forms of packages and prices in lists; fixed values.
 PRICE = r"\d+[,\.]\d+"
 INLINE = rf"(?i)^(.+?)\s+\b({UNITS})-(\d+)\s+({PRICE})\s*$"
 PACKAGE_END = rf"(?i)\b({UNITS})-(\d+)\s*$"
-COMPACT = rf"(?i)\b({UNITS})\s*-?\s*(\d+)\s*(?:UN)?\s+(\d+[,\.]\d{{1,3}})\b"
+_COMPACT = rf"\b({UNITS})\s*-?\s*(\d+)\s*(?:UN)?\s+(\d+[,\.]\d{{1,3}})\b"
+COMPACT = f"(?i){_COMPACT}"
 TWO_PRICES, ONE_PRICE = rf"^({PRICE})\s+({PRICE})", rf"^({PRICE})\s*$"
 LETTER = r"[A-Za-zÀ-ÖØ-öø-ÿ]"
 #: Words that tell a product's category, the first that fits; fixed values.
@@ -103,7 +105,7 @@ def compact_items(lists: DataFrame) -> DataFrame:
     """One run-on text: what stands between two prices is the name of the second."""
     flat = lists.select("list_id", F.trim(F.regexp_replace(as_text(F.col("text")), r"\s+", " ")).alias("flat"))
     # a mark that no text holds cuts the text after each price
-    cut = F.split(F.regexp_replace("flat", f"({COMPACT[4:]})".join(("(?i)", "")), "$1\u0001"), "\u0001")
+    cut = F.split(F.regexp_replace("flat", f"(?i)({_COMPACT})", "$1\u0001"), "\u0001")
     parts = flat.select("list_id", F.posexplode(cut).alias("item_no", "part")).where(F.col("part").rlike(COMPACT + "$"))
     part = F.col("part")
     tail = COMPACT + "$"

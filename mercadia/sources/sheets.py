@@ -18,6 +18,8 @@ from mercadia.functions.text import as_text, header_key
 
 #: Rows in which a header is looked for, and rows of values that a column without a header is judged by.
 HEADER_ROWS, SAMPLE_ROWS = 15, 50
+#: Rows of which a price table's header is the first that fits.
+PRICE_HEADER_ROWS = 12
 TERMS = (7, 14, 21, 28, 35, 42)
 
 
@@ -25,7 +27,7 @@ def _any(c: Column, *parts: str) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(c, F.lit(p)) for p in parts])
 
 
-# ---- scores of headers ----
+# ---- scores of headers: the words and points are fixed values ----
 def name_score(header: Column) -> Column:
     k = header_key(header)
     return (
@@ -117,16 +119,22 @@ def ean_in_name(c: Column) -> Column:
 
 
 # ---- sheets ----
-def header_row(cells: DataFrame, term: int | None = None) -> DataFrame:
+def header_row(cells: DataFrame, term: int | None = None, first_of: int | None = None) -> DataFrame:
     """(file, sheet, row, name_col, ean_col, price_col, package_col): the best row of the first HEADER_ROWS as a header.
 
-    A row counts 4 for a name column, 3 for a barcode and 2 for a price column; without a name it is none.
+    A row counts 4 for a name column, 3 for a barcode and 2 for a price column; without a name it is none. With
+    first_of it is the first of that many rows that has a name and a price column, as in price tables.
     """
-    top = cells.where(F.col("row") <= HEADER_ROWS)
+    top = cells.where(F.col("row") <= (HEADER_ROWS if first_of is None else first_of - 1))
     kinds = {"name": (name_score(F.col("value")), NAME_LEAST), "ean": (ean_score(F.col("value")), EAN_LEAST), "price": (price_score(F.col("value"), term), PRICE_LEAST), "package": (package_score(F.col("value")), PACKAGE_LEAST)}
     top = top.withColumns({f"s_{k}": s for k, (s, _) in kinds.items()})
     best = lambda k, least: F.max_by("col", F.when(F.col(f"s_{k}") >= least, F.struct(f"s_{k}", -F.col("col"))))
     rows = top.groupBy("file", "sheet", "row").agg(*[best(k, least).alias(f"{k}_col") for k, (_, least) in kinds.items()])
+    if first_of is not None:
+        first_name = top.where(F.col("s_name") >= NAME_LEAST).groupBy("file", "sheet", "row").agg(F.min("col").alias("name_col"))
+        both = rows.drop("name_col").where("price_col IS NOT NULL").join(first_name, ["file", "sheet", "row"])
+        one = both.groupBy("file", "sheet").agg(F.min_by(F.struct("row", *[f"{k}_col" for k in kinds]), "row").alias("h"))
+        return one.select("file", "sheet", "h.*")
     points = F.lit(4) + F.when(F.col("ean_col").isNotNull(), 3).otherwise(0) + F.when(F.col("price_col").isNotNull(), 2).otherwise(0)
     one = rows.where("name_col IS NOT NULL").groupBy("file", "sheet").agg(F.max_by(F.struct("row", *[f"{k}_col" for k in kinds]), F.struct(points, -F.col("row"))).alias("h"))
     return one.select("file", "sheet", "h.*")
@@ -154,6 +162,25 @@ def inferred_ean_column(cells: DataFrame, headers: DataFrame) -> DataFrame:
     return good.groupBy("file", "sheet").agg(F.max_by("col", F.struct("share", -F.col("col"))).alias("ean_col"))
 
 
+def inferred_price_column(cells: DataFrame, headers: DataFrame) -> DataFrame:
+    """(file, sheet, price_col): the last column with at least 3 prices, 30 % of its filled cells, below the header; else the last column."""
+    joined = cells.join(headers.select("file", "sheet", F.col("row").alias("header_row")), ["file", "sheet"])
+    below = (F.col("row") > F.col("header_row")) & (F.trim(as_text(F.col("value"))) != "")
+    judged = joined.groupBy("file", "sheet", "col").agg(F.count_if(below).alias("n"), F.count_if(below & table_price(F.col("value")).isNotNull()).alias("prices"))
+    priced = F.when(F.col("prices") >= F.greatest(F.lit(3), F.col("n") * 0.3), F.col("col"))
+    return judged.groupBy("file", "sheet").agg(F.coalesce(F.max(priced), F.max("col")).alias("price_col"))
+
+
+def base_table(cells: DataFrame) -> DataFrame:
+    """A table of base prices for terms: file, sheet, row_no, name, ean, price. A header needs a name; the price column may be inferred."""
+    headers = header_row(cells)
+    guessed = inferred_price_column(cells, headers).withColumnRenamed("price_col", "__p")
+    headers = headers.join(guessed, ["file", "sheet"], "left").withColumn("price_col", F.coalesce("price_col", "__p")).drop("__p")
+    rows = sheet_rows(cells, headers)
+    read = rows.select("file", "sheet", F.col("row").alias("row_no"), F.trim(as_text(F.col("name"))).alias("name"), clean_ean(F.col("code")).alias("ean"), table_price(F.col("price_text")).alias("price"))
+    return read.where(~F.lower("name").isin(*MISSING) & F.col("price").isNotNull())
+
+
 def sheet_rows(cells: DataFrame, headers: DataFrame, blank_rows: int = 200) -> DataFrame:
     """(file, sheet, row, name, code, price_text, package_text) below each header, up to a gap of blank_rows rows.
 
@@ -171,7 +198,7 @@ def sheet_rows(cells: DataFrame, headers: DataFrame, blank_rows: int = 200) -> D
 
 def price_table(cells: DataFrame, term: int = 28) -> DataFrame:
     """A price table's rows: file, sheet, row_no, name, ean, price, units (a package)."""
-    headers = header_row(cells, term)
+    headers = header_row(cells, term, PRICE_HEADER_ROWS)
     guessed = inferred_ean_column(cells, headers).withColumnRenamed("ean_col", "__e")
     headers = headers.join(guessed, ["file", "sheet"], "left").withColumn("ean_col", F.coalesce("ean_col", "__e")).drop("__e")
     rows = sheet_rows(cells, headers.where("price_col IS NOT NULL"))
