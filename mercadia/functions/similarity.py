@@ -54,12 +54,36 @@ def token_set_ratio(a: str, b: str) -> float:
     return best
 
 
-@F.pandas_udf(T.StructType([T.StructField("sort", T.DoubleType()), T.StructField("set", T.DoubleType())]))
-def _ratios(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    pairs = list(zip(a.fillna(""), b.fillna("")))
-    return pd.DataFrame({"sort": [token_sort_ratio(x, y) for x, y in pairs], "set": [token_set_ratio(x, y) for x, y in pairs]})
+@F.pandas_udf(T.DoubleType())
+def sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """token_sort_ratio of two names."""
+    return pd.Series([token_sort_ratio(x, y) for x, y in zip(a.fillna(""), b.fillna(""))], dtype=float)
 
 
-def name_ratios(a: Column, b: Column) -> Column:
-    """struct(sort, set): both ratios of two names, from 0 to 100."""
-    return _ratios(a, b)
+@F.pandas_udf(T.DoubleType())
+def set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """token_set_ratio of two names."""
+    return pd.Series([token_set_ratio(x, y) for x, y in zip(a.fillna(""), b.fillna(""))], dtype=float)
+
+
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 "
+
+
+def profile(name: Column) -> Column:
+    """struct(words, counts, size): what `may_reach` asks of a name; counts of letters and, last, of all other characters."""
+    words = F.array_distinct(F.filter(F.split(F.coalesce(name, F.lit("")), r"\s+"), lambda w: w != ""))
+    text = F.array_join(words, " ")
+    count = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
+    other = F.length(F.regexp_replace(text, f"[{_LETTERS}]", ""))
+    return F.struct(words.alias("words"), F.array(*[count(c) for c in _LETTERS], other).alias("counts"), F.length(text).alias("size"))
+
+
+def may_reach(a: Column, b: Column, least: float) -> Column:
+    """False only for pairs of profiles whose token_set_ratio is below `least`.
+
+    Names that share no word are compared as wholes, and no common subsequence is longer than the letters that
+    both have.
+    """
+    common = F.aggregate(F.zip_with(a["counts"], b["counts"], lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
+    total = a["size"] + b["size"]
+    return F.arrays_overlap(a["words"], b["words"]) | (common * 200.0 >= total * least)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercadia.functions.names import BrandRules, first_word, longest_brand, name_features
-from mercadia.functions.similarity import name_ratios
+from mercadia.functions.similarity import may_reach, profile, set_ratio, sort_ratio
 from mercadia.functions.text import sorted_words
 from mercadia.operators.locks import blocked, knowledge, light_locks, strict_locks
 from mercadia.operators.recognise import recognise
@@ -36,7 +36,10 @@ def _table_rows(prices: DataFrame) -> DataFrame:
 def pairs(items: DataFrame, prices: DataFrame, mode: str = "exact") -> DataFrame:
     """(table_id, quoted, name, price, row_no) to be scored."""
     quoted = items.where("name <> ''").select("table_id", F.col("name").alias("quoted")).distinct()
-    rows = _table_rows(prices)
+    return _paired(quoted, _table_rows(prices), mode)
+
+
+def _paired(quoted: DataFrame, rows: DataFrame, mode: str) -> DataFrame:
     if mode == "exact":
         salted = quoted.withColumn("salt", F.pmod(F.xxhash64("quoted"), F.lit(SALTS)))
         spread = rows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
@@ -50,10 +53,12 @@ def pairs(items: DataFrame, prices: DataFrame, mode: str = "exact") -> DataFrame
 
 def candidates(items: DataFrame, prices: DataFrame, mode: str = "exact") -> DataFrame:
     """The CANDIDATES best pairs of each quoted name by token-set ratio, from CUT_OFF up, with score from 0 to 1."""
-    scored = pairs(items, prices, mode).withColumn("set", name_ratios(F.col("quoted"), F.col("name"))["set"]).where(F.col("set") >= CUT_OFF)
+    quoted = items.where("name <> ''").select("table_id", F.col("name").alias("quoted")).distinct().withColumn("__q", profile(F.col("quoted")))
+    near = _paired(quoted, _table_rows(prices).withColumn("__n", profile(F.col("name"))), mode).where(may_reach(F.col("__q"), F.col("__n"), CUT_OFF)).drop("__q", "__n")
+    scored = near.withColumn("set", set_ratio("quoted", "name")).where(F.col("set") >= CUT_OFF)
     order = Window.partitionBy("table_id", "quoted").orderBy(F.desc("set"), "row_no")
     best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= CANDIDATES)
-    sort = name_ratios(sorted_words(F.col("quoted")), sorted_words(F.col("name")))["sort"]
+    sort = sort_ratio(sorted_words(F.col("quoted")), sorted_words(F.col("name")))
     return best.withColumn("score", F.greatest(sort, F.col("set")) / 100)
 
 

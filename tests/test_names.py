@@ -1,10 +1,12 @@
 """Locks, fuzzy matching and recognition: cases, and brute force over small inputs."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from mercadia.functions.names import BrandRules, name_features, normal_name
-from mercadia.functions.similarity import token_set_ratio, token_sort_ratio
+from mercadia.functions.similarity import may_reach, profile, set_ratio, token_set_ratio, token_sort_ratio
 from mercadia.operators import fuzzy
 from mercadia.operators.catalogue import best_images, image_candidates
 from mercadia.operators.locks import light_locks, strict_locks
@@ -129,6 +131,17 @@ def test_second_and_third_tier_and_knowledge(spark):
     assert flags["REF PO TANGO UVA 18G"] == (True, True) and flags["REF PO TANGO UVA 18 G"][1] is False
 
 
+def test_the_bound_loses_no_pair(spark):
+    rng = random.Random(8)
+    words = ["CAFE", "PILAO", "500G", "TORRADO", "É+", "UVA", "AB", "BA", "ARROZ", "C12", "CAFÉ"]
+    names = [" ".join(rng.choices(words, k=rng.randint(0, 4))) for _ in range(60)]
+    rows = [(a, b, token_set_ratio(a, b)) for a in names for b in names]
+    df = spark.createDataFrame(rows, "a string, b string, ratio double")
+    df = df.withColumn("may", may_reach(profile(F.col("a")), profile(F.col("b")), 55.0))
+    assert df.where("ratio >= 55 AND NOT may").count() == 0 and df.where("NOT may").count() > 500
+    assert df.where(F.abs(set_ratio("a", "b") - F.col("ratio")) > 1e-9).count() == 0
+
+
 def test_a_table_matches_itself(spark):
     names = ["CAFE PILAO 500G", "KETCHUP HEINZ 397G", "LAVA ROUPA PO OMO 1.6KG"]
     prices = spark.createDataFrame([(1, n, float(i), i) for i, n in enumerate(names)], "table_id int, name string, price double, row_no int")
