@@ -12,8 +12,12 @@
    doc_id among its occurrences; windows with one below the document's own are reported.
 4. A document's reported windows cover the words to remove.
 
-Shards are sized by their words; a key with more than HOT passages is split instead by digests of its whole
-windows, which are summed up exactly. Positions are counted in words `[^\\x20\\x09-\\x0D]+`.
+Shards are sized by their words. A key with more than HOT passages, which may be a third of all, is refined inside the
+same method: its equal passages are merged first, by an aggregate that combines before the shuffle, and while more than
+HOT distinct ones are left, their windows are divided by a further least hash under another order, in the end by all
+their words. Equal windows stay together at every level. Each level's passages are indexed and searched as in 2 and 3;
+what is found for a distinct passage is joined back to the documents that hold it. Positions are counted in words
+`[^\\x20\\x09-\\x0D]+`.
 
 Edge cases: null, empty and short texts lose nothing; documents with a null doc_id lose nothing and are no
 earlier occurrence; rows that share a doc_id don't remove each other's words; a window that recurs within one
@@ -40,8 +44,10 @@ GRAM = 10
 PASSAGE = 64
 #: Words of a shard, before equal passages are merged.
 SHARD_WORDS = 1_500_000
-#: Passages from which a key counts as hot.
+#: Passages from which a key is refined; so many fill a shard.
 HOT = 20_000
+#: Further least hashes that divide a hot key, before all words of a window do.
+LEVELS = 4
 
 
 def _grams(words: np.ndarray) -> np.ndarray:
@@ -53,11 +59,18 @@ def _grams(words: np.ndarray) -> np.ndarray:
     return mixed(eight[:-2] * odd + two[8:])
 
 
-def _passages(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, windows, key) of a document's passages."""
+def _passages(words: np.ndarray, window: int, level: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, windows, key) of a document's passages; each level orders the runs of words in another way."""
     if len(words) < window:
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.uint64)
+    if level > LEVELS:
+        whole = np.zeros(len(words) - window + 1, np.uint64)
+        for k in range(window):
+            whole = mixed(whole) + words[k : k + len(whole)]
+        return np.arange(len(whole)), np.ones(len(whole), int), whole
     least, span, width = _grams(words), window - GRAM + 1, 1
+    if level:
+        least = mixed(least ^ np.uint64(level))
     while width * 2 <= span:
         least, width = np.minimum(least[:-width], least[width:]), width * 2
     if width < span:
@@ -256,6 +269,59 @@ def _passage_rows(slim: DataFrame, keys: DataFrame, window: int) -> DataFrame:
     return found.join(F.broadcast(keys.select("key")), "key") if small else found
 
 
+def _refined(rows: DataFrame, window: int, shard_words: int, hot: int) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """For each level of hot keys (passages (passage, doc_id, row_key, first), lows (passage, lows)).
+
+    passage is a digest of a passage's words; lows has the smallest document of each of its windows.
+    """
+    to_lows = pa.schema([("passage", pa.binary()), ("lows", pa.binary())])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, lowest, passages = [], [], []
+        for batch in batches:
+            ids += batch.column(0).to_pylist()
+            lowest += batch.column(1).to_pylist()
+            passages += [np.frombuffer(w, np.uint64) for w in batch.column(2).to_pylist()]
+        if ids:
+            found = FMIndex(passages, np.array(lowest, np.int64), window).lowest(passages)
+            yield from _emit(((i, f.tobytes()) for i, f in zip(ids, found)), to_lows)
+
+    def divide(level: int):
+        schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("row_key", pa.string()), ("first", pa.int32()), ("words", pa.binary())])
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def each() -> Iterator[tuple]:
+                for batch in batches:
+                    for old, doc, row_key_, first, held in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                        words = np.frombuffer(held, np.uint64)
+                        starts, sizes, key = _passages(words, window, level)
+                        key = mixed(key ^ np.array([old], np.int64).view(np.uint64))
+                        for start, size, k in zip(starts.tolist(), sizes.tolist(), _signed(key)):
+                            yield k, doc, row_key_, first + start, words[start : start + size + window - 1].tobytes()
+
+            yield from _emit(each(), schema)
+
+        return task
+
+    for level in range(LEVELS + 2):
+        rows = stored(rows.withColumn("passage", F.unhex(F.md5("words"))), "passages")
+        merged = stored(rows.groupBy("key", "passage", "words").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "merged")
+        # a key of one document only removes nothing
+        sizes = merged.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("a"), F.max("high").alias("b")).where("a < b")
+        sizes = stored(sizes.withColumn("whole", (F.col("n") <= hot) | F.lit(level > LEVELS)), "sizes")
+        total = sizes.where("whole").agg(F.sum("n").alias("n")).first()["n"] or 0
+        if total:
+            shards = max(1, -(-total * (window + 20) // shard_words))
+            ready = merged.join(checked_broadcast(sizes.where("whole").select("key")), "key").select("passage", "low", "words", "key")
+            lows = stored(ready.repartition(shards, "key").mapInArrow(search, "passage binary, lows binary"), "lows")
+            yield rows.select("passage", "doc_id", "row_key", "first"), lows
+        left = sizes.where("not whole").select("key")
+        if not left.limit(1).count():
+            return
+        rows = rows.join(checked_broadcast(left), "key").select("key", "doc_id", "row_key", "first", "words")
+        rows = rows.mapInArrow(divide(level + 1), "key long, doc_id long, row_key string, first int, words binary")
+
+
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, hot: int = HOT) -> DataFrame:
     """(row_key, ranges): words [a, b) of rows of docs (doc_id, text) that an earlier document holds in a window."""
     # rows that share id and text have one answer
@@ -293,21 +359,18 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, shard_words: int = SH
     hits = rows.repartition(shards, "key").mapInArrow(shard, "row_key string, a int, b int")
     often = keys.where(F.col("passages") > hot)
     if often.limit(1).count():
-        by_window = pa.schema([("digest", pa.binary()), ("doc_id", pa.int64()), ("row_key", pa.string()), ("a", pa.int32())])
+        for asked_, lows in _refined(_passage_rows(slim, often, window), window, shard_words, hot):
 
-        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def each() -> Iterator[tuple]:
-                for batch in batches:
-                    for doc, row_key_, first, words in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
-                        for k in range(len(words) // 8 - window + 1):
-                            yield hashlib.md5(words[8 * k : 8 * (k + window)]).digest(), doc, row_key_, first + k
+            def late(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                def each() -> Iterator[tuple]:
+                    for batch in batches:
+                        for doc, row_key_, first, low in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                            yield from ranges(row_key_, first, np.frombuffer(low, np.int64) < doc)
 
-            yield from _emit(each(), by_window)
+                yield from _emit(each(), schema)
 
-        windows = stored(_passage_rows(slim, often, window).mapInArrow(split, "digest binary, doc_id long, row_key string, a int"), "windows")
-        first_doc = windows.groupBy("digest").agg(F.min("doc_id").alias("low")).withColumnRenamed("digest", "w_digest")
-        late = windows.join(first_doc, F.col("digest") == F.col("w_digest")).where("low < doc_id")
-        hits = hits.unionByName(late.select("row_key", "a", (F.col("a") + window).alias("b")))
+            joined = asked_.join(checked_broadcast(lows), "passage").select("doc_id", "row_key", "first", "lows")
+            hits = hits.unionByName(joined.mapInArrow(late, "row_key string, a int, b int"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -53,6 +53,17 @@ def test_cases(spark, monkeypatch):
     assert run(empty(spark)) == []
 
 
+@pytest.mark.parametrize("levels", [0, 4])
+def test_hot_keys(spark, monkeypatch, levels):
+    """One passage in all documents, between words that differ, and many whole copies: every key is refined."""
+    monkeypatch.setattr(S, "LEVELS", levels)
+    shared = [f"s{i}" for i in range(70)]
+    rows = [(i, " ".join([f"a{i % 7}x{k}" for k in range(i % 11)] + shared + [f"b{i % 5}x{k}" for k in range(i % 13)])) for i in range(60)]
+    rows += [(100 + i, " ".join(shared[:55] + ["n%d" % (i % 9)] + shared[:60])) for i in range(30)] + [(i, " ".join(shared)) for i in range(90, 130)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert run(docs, hot=1) == run(docs, hot=6, shard_words=500) == run(docs) == brute(rows)
+
+
 def test_index():
     rng = np.random.default_rng(1)
     passages = [rng.integers(0, 3, rng.integers(10, 40)).astype(np.uint64) for _ in range(60)]
