@@ -38,9 +38,9 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadca
     windows = stored(item_windows(items, window), "windows")
     tokens = windows.select(F.explode(F.array_distinct("win")).alias("token")).distinct()
     words = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row_key"), lower_words(F.col("text")).alias("w"))
-    rarity = words.select(F.explode("w").alias("token")).join(checked_broadcast(tokens, broadcast_bytes), "token").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    rarity = stored(words.select(F.explode("w").alias("token")).join(checked_broadcast(tokens, broadcast_bytes), "token").groupBy("token").agg(F.count(F.lit(1)).alias("df")), "rarity")
     # a window with a token that no document holds can't occur and drops out here
-    keyed = windows.withColumn("id", F.md5(F.concat_ws(" ", "win"))).select("id", "win", "items", F.posexplode("win").alias("offset", "token")).join(rarity, "token", "left")
+    keyed = windows.withColumn("id", F.md5(F.concat_ws(" ", "win"))).select("id", "win", "items", F.posexplode("win").alias("offset", "token")).join(checked_broadcast(rarity, broadcast_bytes), "token", "left")
     prefix = stored(
         keyed.groupBy("id")
         .agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "offset", "token")).alias("rarest"), F.first("win").alias("win"), F.first("items").alias("items"))
