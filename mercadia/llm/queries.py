@@ -7,10 +7,12 @@ from collections.abc import Callable
 from secrets import token_hex
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mercadia.llm import embedding_dedup, jaccard_join
 from mercadia.llm._common import table
 from mercadia.llm.decontamination import decontaminate
+from mercadia.llm.fill_in_middle import fill_in_middle, restored
 from mercadia.llm.mixing import mix
 from mercadia.llm.secrets import secrets
 from mercadia.llm.substring_dedup import remove_repeats
@@ -65,7 +67,12 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("sources")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_repeats, op4_embeddings, op5_surrogates, op6_token_counts, op7_decontaminate, op8_jaccard, op9_secrets, op10_mix)}
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents"))
+    return made.withColumns({"output_sha256": F.sha2("output", 256), "restored_sha256": F.sha2(restored(F.col("output"), F.col("form")), 256)}).drop("output")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_repeats, op4_embeddings, op5_surrogates, op6_token_counts, op7_decontaminate, op8_jaccard, op9_secrets, op10_mix, op13_fill_in_middle)}
 
 ORACLES: dict[str, str] = {
     "op2_warc": """
@@ -135,4 +142,20 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_linked, 0) AS n_linked
         FROM d LEFT JOIN texts USING (r)
     """,
+    "op13_fill_in_middle": """
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents
+        ), h AS (
+            SELECT *, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS c1, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS c2,
+                   CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 90 THEN 'plain'
+                        WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM d
+        ), c AS (
+            SELECT *, left(t, least(c1, c2)) AS p, substring(t, least(c1, c2) + 1, abs(c1 - c2)) AS m, substring(t, greatest(c1, c2) + 1) AS s FROM h
+        )
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN least(c1, c2) END AS prefix_chars, CASE WHEN form <> 'plain' THEN abs(c1 - c2) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM c
+    """,
 }
