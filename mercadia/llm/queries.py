@@ -12,17 +12,22 @@ from pyspark.sql import functions as F
 from mercadia.llm import embedding_dedup, jaccard_join
 from mercadia.llm._common import table
 from mercadia.llm.decontamination import decontaminate
+from mercadia.llm.exact_dedup import deduplicate
 from mercadia.llm.fill_in_middle import fill_in_middle, restored
 from mercadia.llm.mixing import mix
 from mercadia.llm.secrets import secrets
 from mercadia.llm.substring_dedup import remove_repeats
 from mercadia.llm.surrogates import pseudonymise
+from mercadia.llm.token_alignment import align
 from mercadia.llm.token_counts import token_counts, vocabulary
 from mercadia.llm.toxicity import toxicity
 from mercadia.llm.warc import archive_pages
 
 #: A folder of public vocabularies; the file's pieces and scores serve as the unigram vocabulary.
 VOCABULARY = os.environ.get("MERCADIA_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
+#: The two tokenizers that are aligned.
+TOKENIZER_A = os.environ.get("MERCADIA_TOKENIZER_A", "/opt/tokenizers/byte_bpe_50k.json")
+TOKENIZER_B = os.environ.get("MERCADIA_TOKENIZER_B", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,12 +72,20 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("sources")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"), TOKENIZER_A, TOKENIZER_B, with_groups=False)
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicate(spark, f"{sf_dir}/documents.parquet")
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_in_middle(table(spark, sf_dir, "documents"))
     return made.withColumns({"output_sha256": F.sha2("output", 256), "restored_sha256": F.sha2(restored(F.col("output"), F.col("form")), 256)}).drop("output")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_repeats, op4_embeddings, op5_surrogates, op6_token_counts, op7_decontaminate, op8_jaccard, op9_secrets, op10_mix, op13_fill_in_middle)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_repeats, op4_embeddings, op5_surrogates, op6_token_counts, op7_decontaminate, op8_jaccard, op9_secrets, op10_mix, op11_token_alignment, op12_exact_dedup, op13_fill_in_middle)}
 
 ORACLES: dict[str, str] = {
     "op2_warc": """
@@ -142,6 +155,11 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_linked, 0) AS n_linked
         FROM d LEFT JOIN texts USING (r)
     """,
+    "op12_exact_dedup": """
+        WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+        FROM d WINDOW w AS (PARTITION BY t)
+    """,
     "op13_fill_in_middle": """
         WITH d AS (
             SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents
