@@ -48,6 +48,8 @@ def _disk_state(spark: SparkSession) -> Iterator[None]:
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+        # else each partition of the state reserves megabytes of disk before it holds a row
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     }
     before = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
