@@ -25,23 +25,30 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mercadia.llm._common import arrow_rows, checked_broadcast, row_key, stored
+from mercadia.llm._common import arrow_rows, checked_broadcast, stored
 
 MARK = "▁"
 #: Units that are shipped to tasks at most, and bytes of one at most. Others are joined.
-SHIPPED, SHIPPED_BYTES = 200_000, 128
+SHIPPED, SHIPPED_BYTES = 400_000, 128
+#: A token's size in bytes has so many bits.
+SIZE_BITS = 20
+SIZES = 1 << SIZE_BITS
 #: Distinct units a task counts before it passes the counts on.
 HELD = 400_000
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
-_ODD = re.compile(rf"[ \n][ \n]|[^\S \n]|{MARK}|\A[ \n]|[ \n]\Z")
+#: White space that no unit begins with, and pairs of it.
+_OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+_RUNS = [a + b for a in " \n" for b in " \n"]
 _CUT = re.compile(rf"(?<=[^\s{MARK}])(?=[ \n][^\s{MARK}])")
 
 
@@ -99,7 +106,7 @@ class Pair:
         """The units of blank and text. A unit's first blank is left out, unless another white space follows it."""
         if not self.cuts:
             return [" " + text if text[0].isspace() else text]
-        if not _ODD.search(text):
+        if text[0] not in " \n" and text[-1] not in " \n" and MARK not in text and not any(x in text for x in _RUNS) and not any(c in text for c in _OTHER_SPACE):
             return text.replace("\n", " \n").split(" ")
         return [u[1:] if u[0] == " " and len(u) > 1 and not u[1].isspace() else u for u in _CUT.split(" " + text)]
 
@@ -167,28 +174,36 @@ def counted_units(docs: DataFrame, pair: Shipped) -> DataFrame:
         yield out()
 
     found = docs.select("text").mapInArrow(task, "unit string, n long")
-    return stored(found.groupBy("unit").agg(F.sum("n").alias("n")).withColumn("uid", F.monotonically_increasing_id()), "units")
+    return stored(found.groupBy("unit").agg(F.sum("n").alias("n")).withColumn("uid", F.monotonically_increasing_id()), "units", "zstd")
 
 
 def encoded(units: DataFrame, pair: Shipped) -> DataFrame:
-    """(uid, a, a_len, b, b_len): the ids of each unit's tokens and how many bytes each is."""
+    """(uid, tokens): how many tokens A has, then those of A, then those of B, each as SIZES * id + size in bytes.
+
+    They stand in one column so that both sides read the same shuffled rows.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizers = pair()
-        a_len, b_len = ({i: len(x) for i, x in side.items()}.__getitem__ for side in (tokenizers.a_bytes, tokenizers.b_bytes))
-        ints = pa.list_(pa.int32())
+        a_code, b_code = ({i: SIZES * i + len(x) for i, x in side.items()}.__getitem__ for side in (tokenizers.a_bytes, tokenizers.b_bytes))
         for batch in batches:
-            both = tokenizers.encode(batch.column(1).to_pylist())
-            columns = [[x for x, _ in both], [list(map(a_len, x)) for x, _ in both], [y for _, y in both], [list(map(b_len, y)) for _, y in both]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, ints) for c in columns]], names=["uid", "a", "a_len", "b", "b_len"])
+            values, ends = [], [0]
+            for a, b in tokenizers.encode(batch.column(1).to_pylist()):
+                values.append(len(a))
+                values += map(a_code, a)
+                values += map(b_code, b)
+                ends.append(len(values))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64()))], names=["uid", "tokens"])
 
-    return units.select("uid", "unit").mapInArrow(task, "uid long, a array<int>, a_len array<int>, b array<int>, b_len array<int>")
+    return units.select("uid", "unit").mapInArrow(task, "uid long, tokens array<bigint>")
 
 
 def _tokens(pieces: DataFrame, side: str) -> DataFrame:
     """(uid, {side}_pos, {side}, {side}_start, end): a row a token."""
-    rows = pieces.select("uid", F.posexplode(F.arrays_zip(F.col(side).alias("id"), F.col(f"{side}_len").alias("size"))).alias("pos", "token"))
-    rows = rows.select("uid", "pos", F.col("token.id").alias("id"), F.col("token.size").alias("size"))
+    n_a = F.col("tokens")[0].cast("int")
+    own = F.slice("tokens", F.lit(2), n_a) if side == "a" else F.slice("tokens", n_a + 2, F.size("tokens") - n_a - 1)
+    rows = pieces.select("uid", F.posexplode(own).alias("pos", "token"))
+    rows = rows.select("uid", "pos", F.shiftright("token", SIZE_BITS).cast("int").alias("id"), F.col("token").bitwiseAND(F.lit(SIZES - 1)).alias("size"))
     upto = Window.partitionBy("uid").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("end", F.sum("size").over(upto))
     return rows.select("uid", F.col("pos").alias(f"{side}_pos"), F.col("id").alias(side), (F.col("end") - F.col("size")).alias(f"{side}_start"), "end")
@@ -221,7 +236,7 @@ def aligned_units(units: DataFrame, pair: Shipped) -> DataFrame:
     with _kept_apart(spark):
         rows = links(encoded(units, pair))
         gathered = rows.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("a_pos", "b_pos", "a", "b", "cut"))).alias("links"))
-        return stored(gathered.join(units, "uid").select("uid", "unit", "n", "links"), "aligned")
+        return stored(gathered.join(units, "uid").select("uid", "unit", "n", "links"), "aligned", "zstd")
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
@@ -235,20 +250,22 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
 def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(uid, unit, n, links) -> (uid, unit, n, n_a, n_b, n_groups, n_links, groups)."""
     for batch in batches:
-        out = []
-        for linked in batch.column(3).to_pylist():
+        out, linked = [], batch.column(3)
+        fields = linked.flatten()
+        rows = zip(*(fields.field(f).to_pylist() for f in ("a_pos", "b_pos", "a", "b", "cut")))
+        for size in linked.value_lengths().to_pylist():
             parts, a_ids, b_ids, last_a, last_b = [], [], [], -1, -1
-            for x in linked:
-                if x["a_pos"] > last_a:
-                    last_a = x["a_pos"]
-                    a_ids.append(str(x["a"]))
-                if x["b_pos"] > last_b:
-                    last_b = x["b_pos"]
-                    b_ids.append(str(x["b"]))
-                if x["cut"]:
+            for a_pos, b_pos, a, b, cut in islice(rows, size):
+                if a_pos > last_a:
+                    last_a = a_pos
+                    a_ids.append(str(a))
+                if b_pos > last_b:
+                    last_b = b_pos
+                    b_ids.append(str(b))
+                if cut:
                     parts.append(f"{','.join(a_ids)}|{','.join(b_ids)}")
                     a_ids, b_ids = [], []
-            out.append((last_a + 1, last_b + 1, len(parts), len(linked), ";".join(parts)))
+            out.append((last_a + 1, last_b + 1, len(parts), size, ";".join(parts)))
         columns = list(zip(*out)) or [()] * 5
         kinds = [pa.int64()] * 4 + [pa.string()]
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(c, k) for c, k in zip(columns, kinds)]], names=["uid", "unit", "n", "n_a", "n_b", "n_groups", "n_links", "groups"])
@@ -258,26 +275,61 @@ _SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
 def dictionary(aligned: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(unit, n, groups and the sums) of every unit."""
+    """(unit, n, entry) of every unit; entry: its sums, separated by blanks, and its groups, a line each."""
     spark = aligned.sparkSession
     each = aligned.select("uid", F.explode("links").alias("l")).select("uid", F.col("l.a").alias("a"), F.col("l.b").alias("b"))
     valued = each.join(checked_broadcast(pairs), ["a", "b"]).groupBy("uid").agg(F.sum(F.col("best").cast("bigint")).alias("n_best"), F.sum("count").alias("count_sum"))
     with arrow_rows(spark, 2000):
         named = aligned.mapInArrow(_written, "uid long, unit string, n long, n_a long, n_b long, n_groups long, n_links long, groups string")
-        return stored(named.join(valued, "uid").drop("uid"), "dictionary")
+        entry = F.concat_ws("\n", F.concat_ws(" ", *_SUMS), "groups")
+        return stored(named.join(valued, "uid").select("unit", "n", entry.alias("entry")), "dictionary", "zstd")
+
+
+#: Sums of a text, side by side in one number, have so many bits each.
+_WIDE = 72
+
+
+def _read(entry: str) -> tuple[str, tuple[str, int]]:
+    """What follows an entry's two lines, and its groups and sums."""
+    sums, groups, *unit = entry.split("\n", 2)
+    return "".join(unit), (groups, sum(int(x) << _WIDE * i for i, x in enumerate(sums.split(" "))))
+
+
+#: The entries that this worker read last, by the name of what was shipped.
+_shipped: dict[str, dict[str, tuple[str, int]]] = {}
+
+
+class Entries:
+    """A bounded number of rows (unit, entry), shipped as an Arrow table and read once a worker."""
+
+    def __init__(self, rows: DataFrame):
+        sink = pa.BufferOutputStream()
+        table = rows.toArrow()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        self.name = uuid.uuid4().hex
+        self.data = rows.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+
+    def __call__(self) -> dict[str, tuple[str, int]]:
+        if self.name not in _shipped:
+            _shipped.clear()
+            held: dict[str, tuple[str, int]] = {}
+            for batch in pa.ipc.open_stream(self.data.value):
+                held.update((u, _read(e)[1]) for u, e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            _shipped[self.name] = held
+        return _shipped[self.name]
 
 
-def most_frequent(known: DataFrame, most: int) -> DataFrame:
-    """Units that occur most, `most` of them at most: those of the highest steps of a scale of counts."""
-    step = F.floor(F.log2("n") * 16).alias("step")
-    short = known.where(F.octet_length("unit") <= SHIPPED_BYTES)
-    steps, total, least = sorted(short.groupBy(step).count().collect(), reverse=True), 0, None
+def most_frequent(known: DataFrame, most: int) -> Column:
+    """Whether a unit is one of those that occur most, `most` of them at most: those of the highest steps of a scale of counts."""
+    step, short = F.floor(F.log2("n") * 16), F.octet_length("unit") <= SHIPPED_BYTES
+    steps, total, least = sorted(known.where(short).groupBy(step.alias("step")).count().collect(), reverse=True), 0, None
     for r in steps:
         total += r["count"]
         if total > most:
             break
         least = r["step"]
-    return short.where(F.lit(False) if least is None else step >= least)
+    return F.lit(False) if least is None else short & (step >= least)
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, with_groups: bool = True, shipped: int = SHIPPED) -> DataFrame:
@@ -292,36 +344,38 @@ def align(docs: DataFrame, a_path: str, b_path: str, with_groups: bool = True, s
     units = counted_units(docs, pair)
     aligned = aligned_units(units, pair)
     known = dictionary(aligned, pair_counts(aligned))
-    hot = spark.sparkContext.broadcast({r[0]: tuple(r[1:]) for r in most_frequent(known, shipped).select("unit", "groups", *_SUMS).collect()})
-    keyed = docs.withColumn("key", row_key("doc_id", "text"))
+    often = most_frequent(known, shipped)
+    hot = Entries(known.where(often).select("unit", "entry"))
+    # documents with one key would only get each other's units too
+    keyed = docs.withColumn("key", F.xxhash64("doc_id", "text"))
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizers, held = pair(), hot.value.keys()
+        tokenizers, held = pair(), hot()
         for batch in batches:
             keys, found = [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if tokenizers.faithful(text):
-                    own = set(tokenizers.units(text)) - held
+                    own = [u for u in set(tokenizers.units(text)) if u not in held]
                     keys += [key] * len(own)
                     found += own
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(found, pa.string())], names=["key", "unit"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.string())], names=["key", "unit"])
 
-    wanted = keyed.select("key", "text").mapInArrow(rare, "key string, unit string")
-    entry = F.struct("unit", "groups", *_SUMS)
-    entries = wanted.join(known.drop("n"), "unit").groupBy("key").agg(F.collect_set(entry).alias("entries"))
+    wanted = keyed.select("key", "text").mapInArrow(rare, "key long, unit string")
+    found = wanted.join(known.where(~often).select("unit", "entry"), "unit")
+    entries = found.groupBy("key").agg(F.collect_set(F.concat_ws("\n", "entry", "unit")).alias("entries"))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizers, held = pair(), hot.value
+        tokenizers, get = pair(), hot().get
         for batch in batches:
             out = []
             for text, entries in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 if not tokenizers.faithful(text):
                     out.append(("", *[0] * len(_SUMS)))
                     continue
-                own = {e["unit"]: tuple(e[f] for f in ("groups", *_SUMS)) for e in entries or ()}
-                groups, *counts = zip(*[held.get(u) or own[u] for u in tokenizers.units(text)])
-                groups = ";".join(groups)
-                out.append((groups if with_groups else hashlib.sha256(groups.encode()).hexdigest(), *map(sum, counts)))
+                own = dict(map(_read, entries or ()))
+                groups, counts = zip(*[get(u) or own[u] for u in tokenizers.units(text)])
+                groups, total = ";".join(groups), sum(counts)
+                out.append((groups if with_groups else hashlib.sha256(groups.encode()).hexdigest(), *[total >> _WIDE * i & (1 << _WIDE) - 1 for i in range(len(_SUMS))]))
             columns = list(zip(*out)) or [()] * (1 + len(_SUMS))
             kinds = [pa.string()] + [pa.int64()] * len(_SUMS)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds)]], names=["doc_id", name, *_SUMS])
