@@ -150,12 +150,21 @@ def canonical(m: Column, kind: Column, sex: Column) -> Column:
     )
 
 
-def _stream(key: str, kind: Column, form: Column, attempt: Column) -> Column:
-    """128 hexadecimal digits for an entity's attempt: two HMACs by SHA-256."""
+def with_pads(df: DataFrame, key: str) -> DataFrame:
+    """df with the two padded keys of an HMAC in every row, from a table of one row.
+
+    They are data and not part of an expression, so that no plan, and no log of plans, shows them.
+    """
     secret = key.encode("utf-8")
     if len(secret) > 64:
         secret = hashlib.sha256(secret).digest()
-    inner, outer = (F.lit(bytearray(b ^ pad for b in secret.ljust(64, b"\0"))) for pad in (0x36, 0x5C))
+    pads = [bytearray(b ^ pad for b in secret.ljust(64, b"\0")) for pad in (0x36, 0x5C)]
+    return df.crossJoin(F.broadcast(df.sparkSession.createDataFrame([tuple(pads)], "pad_inner binary, pad_outer binary")))
+
+
+def _stream(kind: Column, form: Column, attempt: Column) -> Column:
+    """128 hexadecimal digits for an entity's attempt: two HMACs by SHA-256, of a row that has the pads."""
+    inner, outer = F.col("pad_inner"), F.col("pad_outer")
     mac = lambda text: F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(text, "UTF-8")), 256))), 256)
     seed = F.concat_ws("|", kind, attempt.cast("string"), form)
     return F.concat(mac(F.concat(F.lit("1|"), seed)), mac(F.concat(F.lit("2|"), seed)))
@@ -220,7 +229,7 @@ def _name(e: Column) -> Column:
     return F.coalesce(out, _spelt(e["m"], e["stream"]))
 
 
-def drawn(items: Column, key: str, attempt: Callable[[Column, Column], Column]) -> Column:
+def drawn(items: Column, attempt: Callable[[Column, Column], Column]) -> Column:
     """array<struct<before, m, kind, form, new>>: the surrogates of an array of parts; new is m where kind is null.
 
     attempt: a function of kind and form. The steps are transforms of their own, so that each is worked out
@@ -232,7 +241,7 @@ def drawn(items: Column, key: str, attempt: Callable[[Column, Column], Column])
     for new in (
         {"form": lambda e: canonical(e["m"], e["kind"], e["sex"])},
         {"attempt": lambda e: F.when(e["kind"].isNotNull(), attempt(e["kind"], e["form"]))},
-        {"stream": lambda e: F.when(e["kind"].isNotNull(), _stream(key, e["kind"], e["form"], e["attempt"]))},
+        {"stream": lambda e: F.when(e["kind"].isNotNull(), _stream(e["kind"], e["form"], e["attempt"]))},
         {"numbers": lambda e: F.when(e["kind"].isin("card", "phone"), F.concat((_byte(e["stream"], 19) % 9 + 1).cast("string"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(18)), lambda i: (_byte(e["stream"], i) % 10).cast("string")), "")))},
         {"body": lambda e: F.substring(e["numbers"], F.lit(1), F.length(e["form"]) - F.when(e["kind"] == "card", 1).otherwise(0))},
         {"digits": lambda e: F.when(e["kind"] == "card", F.concat(e["body"], ((10 - _luhn(e["body"], 1) % 10) % 10).cast("string"))).otherwise(e["body"])},
@@ -267,7 +276,7 @@ def redrawn(found: DataFrame, key: str) -> DataFrame:
     tried = known.withColumn("attempt", F.lit(0))
     while True:
         item = F.struct(F.lit("").alias("before"), F.col("example").alias("m"), "kind", "sex")
-        tried = tried.withColumn("one", drawn(F.array(item), key, lambda kind, form: F.col("attempt"))[0])
+        tried = with_pads(tried, key).withColumn("one", drawn(F.array(item), lambda kind, form: F.col("attempt"))[0])
         tried = stored(tried.select("kind", "form", "example", "sex", "attempt", canonical(F.col("one.new"), F.col("kind"), F.col("sex")).alias("new")), "drawn")
         # of those that share a surrogate the one that drew most often, then the first, keeps it
         shared = tried.groupBy("kind", "new").agg(F.count(F.lit(1)).alias("n"), F.max_by("form", F.struct("attempt", F.expr("-xxhash64(form)"), "form")).alias("keeper")).where("n > 1")
@@ -286,7 +295,7 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     found = stored(entities(docs), "entities")
     again = found.join(redrawn(found, key), ["kind", "form"]).groupBy("row_key").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "kind", "form"), "attempt"))).alias("attempts"))
     slim = docs.select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("row_key"))
-    joined = slim.join(checked_broadcast(stored(again.select("row_key", F.map_entries("attempts").alias("attempts")), "redrawn")), "row_key", "left")
+    joined = with_pads(slim, key).join(checked_broadcast(stored(again.select("row_key", F.map_entries("attempts").alias("attempts")), "redrawn")), "row_key", "left")
 
     def attempt(kind: Column, form: Column) -> Column:
         drew = F.filter("attempts", lambda e: e["key"] == F.concat_ws(":", kind, form))
@@ -300,7 +309,7 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
         return F.concat(F.flatten(F.zip_with(F.slice(e["pieces"], F.lit(1), F.size(e["matches"])), e["matches"], parts)), F.array(tail))
 
     matched = F.struct(F.split(text, ENTITY, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)).alias("matches"))
-    new = F.when(text.rlike(ENTITY), drawn(let(matched, items), key, attempt))
+    new = F.when(text.rlike(ENTITY), drawn(let(matched, items), attempt))
     done = joined.select("doc_id", "text", new.alias("new"))
     out = F.when(F.col("new").isNull(), text).otherwise(F.array_join(F.transform("new", lambda n: F.concat(n["before"], n["new"])), ""))
     number = lambda column: F.coalesce(F.size(F.filter("new", lambda n: n["kind"].isin([k for k, c in KINDS.items() if c == column]))), F.lit(0))

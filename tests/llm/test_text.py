@@ -305,3 +305,13 @@ def test_surrogates_are_one_to_one(spark):
         for x, y in zip(one, other):
             assert known.setdefault(x, y) == y and x[0] == y[0]
     assert len(set(known.values())) == len(known) > 200 and not set(known) & set(known.values())
+
+
+def test_no_plan_shows_the_key(spark, sf):
+    key = "a key that nobody should read in a plan"
+    got = surrogates.pseudonymise(documents(spark), key)
+    plan = got._jdf.queryExecution().toString() + got._jdf.queryExecution().logical().toString()
+    pads = [bytes(b ^ pad for b in key.encode().ljust(64, b"\0")) for pad in (0x36, 0x5C)]
+    for secret in (key, *[p.hex() for p in pads], *[p[:20].decode("latin-1") for p in pads], str(list(pads[0][:6]))[1:-1]):
+        assert secret not in plan and secret.upper() not in plan
+    assert "pad_inner" in plan
