@@ -38,14 +38,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back.
 
     This cuts the lineage, and what was written outlives any executor.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -65,6 +65,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def plainly(docs: DataFrame, own: tuple[str, ...], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """work(docs), which keeps the columns of docs, with every column but `own` under a name that nothing else has.
+
+    Other columns may have any name: one that work uses inside, one with dots or backticks, or one that differs from
+    another in case only.
+    """
+    named: list[str] = []
+    for i, c in enumerate(docs.columns):
+        named.append(c if c in own and c not in named else f"__c{i}")
+    return work(docs.toDF(*named)).toDF(*docs.columns)
+
+
 def row_key(doc_id: Column | str, text: Column | str) -> Column:
     """One key for equal (id, text) pairs; a null id or text has a key too."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
