@@ -15,41 +15,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercadia.llm._common import row_key, stored, table
+from mercadia.llm._common import plainly, row_key, stored, table
 from mercadia.llm.decontamination import decontaminate
 from mercadia.llm.jaccard_join import keep_one
 from mercadia.llm.mixing import mix
 from mercadia.llm.secrets import redact
 from mercadia.llm.toxicity import fit, score
 
+#: What the stages know of a document. Other columns pass through them under plain names.
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more for toxicity go."""
-    model = fit(docs, table(spark, sf_dir, "labels"))
-    scored = score(docs, model, *[c for c in docs.columns if c != "text"], with_text=True, name="__m_score")
-    return scored.where("__m_score < 0.5").select(*docs.columns)
+    model = fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+    def keep(rows: DataFrame) -> DataFrame:
+        scored = score(rows, model, *[c for c in rows.columns if c != "text"], with_text=True, name="__m_score")
+        return scored.where("__m_score < 0.5").select(*rows.columns)
+
+    return plainly(docs, DOCUMENT, keep)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    return keep_one(docs)
+    return plainly(docs, DOCUMENT, keep_one)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
+    found = decontaminate(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).where("contaminated")
     leaks = stored(found.select(F.col("row_key").alias("__m_key")).distinct(), "leaks")
-    return docs.withColumn("__m_key", row_key(docs["doc_id"], docs["text"])).join(leaks, "__m_key", "left_anti").select(*docs.columns)
+    keep = lambda rows: rows.withColumn("__m_key", row_key(rows["doc_id"], rows["text"])).join(leaks, "__m_key", "left_anti").select(*rows.columns)
+    return plainly(docs, DOCUMENT, keep)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the texts; every document stays."""
-    return redact(docs)
+    return plainly(docs, DOCUMENT, redact)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """How many words of each document the mix of sources takes."""
-    return mix(docs).drop("sources")
+    return mix(docs.select("doc_id", "text", "source")).drop("sources")
 
 
 STAGES = [
