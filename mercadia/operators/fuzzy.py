@@ -1,10 +1,17 @@
 """Names against price tables: candidates, then three tiers of similarity behind locks.
 
 Pairs are of distinct normal names of one price table, so a name that a million items share is scored once.
-`exact` pairs every name of a table with every quoted name for it: a user's table is bounded by the size of an
-upload, and quoted names are dealt over tasks by a hash, so that no task gets a whole table's pairs. `blocked`
-pairs only names that share a word: a lossy, much smaller search; compare its recall before use. Neither is a
-cross join: both are equi-joins on the table's id.
+`exact` finds every candidate without scoring all pairs. A set ratio has two sources, and each has an index:
+
+* long shared words. If the shared words are to be long enough against the shorter name, a pair must share one of that
+  name's rarest words: so many that what the others could add falls short. Those are joined with inverted lists of words.
+* letters in the same order. No common subsequence is longer than the letters both have, whose counts are packed in bigints and
+  compared inside the join, which lets only pairs pass that may reach the bound.
+
+The pairs of the first index are scored first. What is then the CANDIDATES-best ratio of a quoted name is the bound of
+the second: below it no pair can be a candidate any more. A table whose pairs are many is dealt over tasks by a hash of the quoted names.
+`blocked` pairs only names that share a word: a lossy search; compare its recall before use. Nothing is a
+cross join: all are equi-joins on the table's id, and on a word or a share.
 
 Columns in: items (table_id, name), prices (table_id, name, price, row_no). Names are normal forms already.
 Out: one row a distinct (table_id, name) of items that found a price: price, kind, matched.
@@ -16,16 +23,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercadia.functions.names import BrandRules, first_word, longest_brand, name_features
-from mercadia.functions.similarity import may_reach, profile, set_ratio, sort_ratio
-from mercadia.functions.text import sorted_words
+from mercadia.functions.similarity import may_reach, profiled, set_ratio, sort_ratio
 from mercadia.operators.locks import blocked, knowledge, light_locks, strict_locks
 from mercadia.operators.recognise import recognise
 
 #: Candidates of an item, and the least token-set ratio of one; a feature of the search.
 CANDIDATES, CUT_OFF = 40, 55.0
 TIER_1, TIER_2, TIER_3 = 0.82, 0.65, 0.62
-#: Tasks over which one table's quoted names are dealt.
-SALTS = 32
+#: Pairs of one table that are compared in a task.
+SHARE = 1_000_000
+#: Sides are compared as doubles: this much below a bound still counts as reaching it.
+SLACK = 1e-9
 
 
 def _table_rows(prices: DataFrame) -> DataFrame:
@@ -33,17 +41,15 @@ def _table_rows(prices: DataFrame) -> DataFrame:
     return prices.where("name <> ''").groupBy("table_id", "name").agg(F.min_by("price", "row_no").alias("price"), F.min("row_no").alias("row_no"))
 
 
-def pairs(items: DataFrame, prices: DataFrame, mode: str = "exact") -> DataFrame:
-    """(table_id, quoted, name, price, row_no) to be scored."""
-    quoted = items.where("name <> ''").select("table_id", F.col("name").alias("quoted")).distinct()
-    return _paired(quoted, _table_rows(prices), mode)
+def _quoted(items: DataFrame) -> DataFrame:
+    return items.where("name <> ''").select("table_id", F.col("name").alias("quoted")).distinct()
 
 
-def _paired(quoted: DataFrame, rows: DataFrame, mode: str) -> DataFrame:
+def pairs(items: DataFrame, prices: DataFrame, mode: str = "exact") -> DataFrame:
+    """(table_id, quoted, name, price, row_no): with `exact` all pairs of a table, with `blocked` those that share a word."""
+    quoted, rows = _quoted(items), _table_rows(prices)
     if mode == "exact":
-        salted = quoted.withColumn("salt", F.pmod(F.xxhash64("quoted"), F.lit(SALTS)))
-        spread = rows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        return salted.join(spread, ["table_id", "salt"]).drop("salt")
+        return _dealt(quoted, rows, F.lit(True))
     if mode != "blocked":
         raise ValueError("mode is exact or blocked")
     left = quoted.withColumn("word", F.explode(F.array_distinct(F.split("quoted", " "))))
@@ -51,15 +57,87 @@ def _paired(quoted: DataFrame, rows: DataFrame, mode: str) -> DataFrame:
     return left.join(right, ["table_id", "word"]).drop("word").distinct()
 
 
+def _by(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys to all partitions: rows that make many pairs are few, and would else be put together by their size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def every_pair(items: DataFrame, prices: DataFrame) -> DataFrame:
+    """All pairs of each table with both names profiled, as q and n."""
+    return _dealt(profiled(_quoted(items), "quoted", "q"), profiled(_table_rows(prices), "name", "n"), F.lit(True))
+
+
+def _dealt(quoted: DataFrame, rows: DataFrame, condition: Column) -> DataFrame:
+    """The pairs of each table that meet condition, which the join itself tests.
+
+    A table of many pairs has several shares of quoted names, each with all of the table's rows.
+    """
+    sizes = quoted.groupBy("table_id").agg(F.count(F.lit(1)).alias("n")).join(rows.groupBy("table_id").agg(F.count(F.lit(1)).alias("m")), "table_id")
+    shares = sizes.select("table_id", F.ceil(F.col("n") * F.col("m") / SHARE).alias("shares"))
+    left = quoted.join(shares, "table_id").withColumn("share", F.pmod(F.xxhash64("quoted"), F.col("shares"))).drop("shares")
+    right = rows.join(shares, "table_id").withColumn("share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shares") - 1))).drop("shares")
+    right = right.withColumnsRenamed({"table_id": "__t", "share": "__s"})
+    left, right = _by(left, "table_id", "share"), _by(right, "__t", "__s")
+    return left.join(right, (F.col("table_id") == F.col("__t")) & (F.col("share") == F.col("__s")) & condition).drop("__t", "__s", "share")
+
+
+def _needed(words: DataFrame, name: str, p: str) -> DataFrame:
+    """The words of which a pair must share one, if its shared words are to reach CUT_OFF against this, the shorter, name.
+
+    What is left out are a name's most frequent words, as long as all of them together fall short.
+    """
+    share = (CUT_OFF - SLACK) / (200.0 - CUT_OFF + SLACK)
+    often = Window.partitionBy("table_id", name).orderBy(F.desc("n"), "word").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    together = F.sum(F.length("word") + 1).over(often) - 1
+    return words.withColumn("together", together).where(F.col("together") >= share * F.col(f"{p}_size")).drop("together")
+
+
+def sharing(quoted: DataFrame, rows: DataFrame) -> DataFrame:
+    """All pairs whose shared words alone may reach CUT_OFF, some of them several times. Both sides are profiled."""
+    held = rows.withColumn("word", F.explode("n_words"))
+    counts = held.groupBy("table_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    asked = quoted.withColumn("word", F.explode("q_words"))
+    few = lambda words, name, p: _needed(words.join(counts, ["table_id", "word"]), name, p).select("table_id", name, "word")
+    by_quoted = asked.join(few(asked.select("table_id", "quoted", "q_size", "word"), "quoted", "q"), ["table_id", "quoted", "word"])
+    by_name = held.join(few(held.select("table_id", "name", "n_size", "word"), "name", "n"), ["table_id", "name", "word"])
+    met = lambda a, b: _by(a, "table_id", "word").join(_by(b, "table_id", "word"), ["table_id", "word"])
+    return met(by_quoted, held).where("q_size <= n_size").unionByName(met(asked, by_name).where("n_size < q_size"))
+
+
+def alike(quoted: DataFrame, rows: DataFrame) -> DataFrame:
+    """All pairs whose letters may reach `bound`, a column of quoted. Both sides are profiled."""
+    return _dealt(quoted, rows, may_reach("q", "n", F.col("bound") - SLACK))
+
+
+def _scored(found: DataFrame) -> DataFrame:
+    """(table_id, quoted, name, price, row_no, set, sort) of the pairs from CUT_OFF up, each once.
+
+    Pairs are scored where they are made: what the ratios need of two names is many times as long as the names. A filter on
+    the ratio would be worked out apart from the column, so the ratio passes through an array that is empty below.
+    """
+    kept = F.filter(F.array(set_ratio("q", "n")), lambda s: s >= CUT_OFF)
+    near = found.withColumn("set", F.explode(kept))
+    return near.select("table_id", "quoted", "name", "price", "row_no", "set", sort_ratio("q", "n").alias("sort")).distinct()
+
+
+def _ranked(scored: DataFrame) -> DataFrame:
+    order = Window.partitionBy("table_id", "quoted").orderBy(F.desc("set"), "row_no")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= CANDIDATES)
+
+
 def candidates(items: DataFrame, prices: DataFrame, mode: str = "exact") -> DataFrame:
     """The CANDIDATES best pairs of each quoted name by token-set ratio, from CUT_OFF up, with score from 0 to 1."""
-    quoted = items.where("name <> ''").select("table_id", F.col("name").alias("quoted")).distinct().withColumn("__q", profile(F.col("quoted")))
-    near = _paired(quoted, _table_rows(prices).withColumn("__n", profile(F.col("name"))), mode).where(may_reach(F.col("__q"), F.col("__n"), CUT_OFF)).drop("__q", "__n")
-    scored = near.withColumn("set", set_ratio("quoted", "name")).where(F.col("set") >= CUT_OFF)
-    order = Window.partitionBy("table_id", "quoted").orderBy(F.desc("set"), "row_no")
-    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= CANDIDATES)
-    sort = sort_ratio(sorted_words(F.col("quoted")), sorted_words(F.col("name")))
-    return best.withColumn("score", F.greatest(sort, F.col("set")) / 100)
+    quoted, rows = profiled(_quoted(items), "quoted", "q"), profiled(_table_rows(prices), "name", "n")
+    if mode == "exact":
+        first = _ranked(_scored(sharing(quoted, rows)))
+        bounds = first.where(F.col("rank") == CANDIDATES).select("table_id", "quoted", F.col("set").alias("bound"))
+        bounded = quoted.join(bounds, ["table_id", "quoted"], "left").fillna({"bound": CUT_OFF})
+        # what isn't among the first CANDIDATES of its index can't be among those of both
+        scored = _scored(alike(bounded, rows)).union(first.drop("rank")).distinct()
+    else:
+        near = pairs(items, prices, mode).select("table_id", "quoted", "name")
+        scored = _scored(near.join(quoted, ["table_id", "quoted"]).join(rows, ["table_id", "name"]))
+    return _ranked(scored).withColumn("score", F.greatest("set", "sort") / 100).drop("sort")
 
 
 def with_locks(found: DataFrame, rules: BrandRules, known: DataFrame | None = None) -> DataFrame:
@@ -68,7 +146,7 @@ def with_locks(found: DataFrame, rules: BrandRules, known: DataFrame | None = No
     Features are worked out once a distinct name and joined to the pairs. With a knowledge table (see
     operators.recognise) both kinds also block pairs whose recognised products conflict.
     """
-    names = found.select(F.col("quoted").alias("n")).union(found.select("name")).distinct()
+    names = found.select(F.explode(F.array("quoted", "name")).alias("n")).distinct()
     if known is None:
         featured = names.select("n", name_features(F.col("n"), rules).alias("features"))
     else:

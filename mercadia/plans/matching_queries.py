@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from mercadia.functions.codes import clean_ean, clean_ean_offer, clean_ean_page, clean_ean_photo, unit_ean_of_dun14
 from mercadia.functions.names import BrandRules, name_features, normalise_names
 from mercadia.functions.prices import adjusted, discounted, merge_price, offer_price, offer_prices, page_price, price_text, table_price, typed_price
+from mercadia.functions.similarity import set_ratio, sort_ratio
 from mercadia.functions.text import search_key, sorted_words
 from mercadia.operators import catalogue, fuzzy, matching
 from mercadia.operators.locks import light_locks, strict_locks
 from mercadia.operators.recognise import recognise
 from mercadia.plans.registry import query
-from mercadia.plans.views import ITEM_ID, SQL_MATCHED, SQL_PRICES, price_rows, quote_rows, table
+from mercadia.plans.views import ITEM_ID, SQL_MATCHED, SQL_PRICES, price_rows, quote_rows, spread, table
 from mercadia.sources.sinks import result_cells, term_table
 
 _ID = ", ".join(ITEM_ID)
@@ -247,6 +248,74 @@ def q_fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy.match_names(_quoted(spark, sf_dir), _names(spark, sf_dir), brand_rules(spark, sf_dir))
 
 
+# plain names of parts, one table a brand, and the same as buyers write them; a name stands for its first part
+_PLAIN_SQL = r"""
+    n AS (SELECT p_brand AS table_id, upper(concat_ws(' ', p_name, replace(p_brand, '#', ' '), p_type, CAST(p_size AS VARCHAR) || 'G')) AS name, min(p_partkey) AS row_no FROM part GROUP BY ALL),
+    q AS (SELECT DISTINCT p_brand AS table_id, upper(CASE p_partkey % 3 WHEN 0 THEN concat_ws(' ', p_type, p_name) WHEN 1 THEN concat_ws(' ', p_name, CAST(p_size + 1 AS VARCHAR) || 'G') ELSE concat_ws(' ', p_type, p_brand) END) AS quoted FROM part),
+    w AS (SELECT table_id, quoted, name, row_no, list_sort(list_distinct(string_split(quoted, ' '))) AS a, list_sort(list_distinct(string_split(name, ' '))) AS b FROM q JOIN n USING (table_id)),
+    s AS (SELECT *, list_sort(list_intersect(a, b)) AS c FROM w),
+    t AS (
+        SELECT table_id, quoted, name, row_no, array_to_string(list_sort(string_split(quoted, ' ')), ' ') AS sa, array_to_string(list_sort(string_split(name, ' ')), ' ') AS sb, array_to_string(c, ' ') AS cw,
+               concat_ws(' ', nullif(array_to_string(c, ' '), ''), nullif(array_to_string(list_filter(a, lambda x: NOT list_contains(b, x)), ' '), '')) AS wa,
+               concat_ws(' ', nullif(array_to_string(c, ' '), ''), nullif(array_to_string(list_filter(b, lambda x: NOT list_contains(a, x)), ' '), '')) AS wb
+        FROM s
+    ), m AS (
+        SELECT *, {lcs_set} AS lcs_set, {lcs_sort} AS lcs_sort FROM t
+    ), r AS (
+        SELECT table_id, quoted, name, row_no, 200.0 * lcs_sort / (length(sa) + length(sb)) AS by_sort,
+               CASE WHEN cw <> '' AND (cw = wa OR cw = wb) THEN 100.0
+                    ELSE greatest(200.0 * lcs_set / (length(wa) + length(wb)), 200.0 * length(cw) / (length(cw) + least(length(wa), length(wb)))) END AS by_set
+        FROM m
+    )
+"""
+
+
+def _lcs_sql(a: str, b: str) -> str:
+    """Longest common subsequence by the bits of a's places: a letter of b moves each row's lowest free match."""
+    places = f"list_reduce(list_transform(range(1, length({a}) + 1), lambda i: CASE WHEN {a}[i] = c THEN 1::HUGEINT << (i - 1)::INT ELSE 0::HUGEINT END), lambda x, y: x | y, 0::HUGEINT)"
+    every = f"((1::HUGEINT << length({a})::INT) - 1)"
+    rows = f"list_reduce(list_transform(string_split({b}, ''), lambda c: {places}), lambda r, h: ((r + (r & h)) | (r - (r & h))) & {every}, {every})"
+    return f"CASE WHEN {a} = '' OR {b} = '' THEN 0 ELSE length({a}) - bit_count({rows}) END"
+
+
+_PLAIN_SQL = _PLAIN_SQL.replace("{lcs_set}", _lcs_sql("wa", "wb")).replace("{lcs_sort}", _lcs_sql("sa", "sb"))
+
+
+def _plain_names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Items (table_id, name) and prices (table_id, name, price, row_no) of names that are taken as they are."""
+    p = spread(table(spark, sf_dir, "part"))
+    kind, size = F.col("p_partkey") % 3, lambda n: F.concat((F.col("p_size") + n).cast("string"), F.lit("G"))
+    raw = F.when(kind == 0, F.concat_ws(" ", "p_type", "p_name")).when(kind == 1, F.concat_ws(" ", F.col("p_name"), size(1))).otherwise(F.concat_ws(" ", "p_type", "p_brand"))
+    name = F.upper(F.concat_ws(" ", F.col("p_name"), F.replace(F.col("p_brand"), F.lit("#"), F.lit(" ")), F.col("p_type"), size(0)))
+    items = p.select(F.col("p_brand").alias("table_id"), F.upper(raw).alias("name"))
+    return items, p.select(F.col("p_brand").alias("table_id"), name.alias("name"), F.col("p_retailprice").alias("price"), F.col("p_partkey").alias("row_no"))
+
+
+@query(f"""
+    WITH {_PLAIN_SQL}
+    SELECT table_id, quoted, count(*) AS names, CAST(sum(round(by_set * 1000)) AS BIGINT) AS by_set, CAST(sum(round(by_sort * 1000)) AS BIGINT) AS by_sort, max(CAST(round(by_set * 1000) AS BIGINT)) AS best
+    FROM r GROUP BY ALL
+""")
+def q_name_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both ratios, in thousandths, of every quoted name with every name of its table, summed by quoted name."""
+    items, prices = _plain_names(spark, sf_dir)
+    both = fuzzy.every_pair(items, prices)
+    thousandths = lambda r: F.round(r * 1000).cast("bigint")
+    scored = both.select("table_id", "quoted", thousandths(set_ratio("q", "n")).alias("s"), thousandths(sort_ratio("q", "n")).alias("o"))
+    return scored.groupBy("table_id", "quoted").agg(F.count(F.lit(1)).alias("names"), F.sum("s").alias("by_set"), F.sum("o").alias("by_sort"), F.max("s").alias("best"))
+
+
+@query(f"""
+    WITH {_PLAIN_SQL}
+    SELECT table_id, quoted, name, row_no, round(by_set, 6) AS by_set, round(greatest(by_set, by_sort) / 100, 8) AS score, row_number() OVER (PARTITION BY table_id, quoted ORDER BY by_set DESC, row_no) AS rank
+    FROM r WHERE by_set >= 55 QUALIFY rank <= 40
+""")
+def q_fuzzy_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates of every quoted name, by the indexes; the SQL scores all pairs of each table."""
+    found = fuzzy.candidates(*_plain_names(spark, sf_dir))
+    return found.select("table_id", "quoted", "name", "row_no", F.round("set", 6).alias("by_set"), F.round("score", 8).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 @query()
 def q_locks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many candidate pairs each lock blocks."""
