@@ -127,7 +127,8 @@ def _ranked(scored: DataFrame) -> DataFrame:
 
 def candidates(items: DataFrame, prices: DataFrame, mode: str = "exact") -> DataFrame:
     """The CANDIDATES best pairs of each quoted name by token-set ratio, from CUT_OFF up, with score from 0 to 1."""
-    quoted, rows = profiled(_quoted(items), "quoted", "q"), profiled(_table_rows(prices), "name", "n")
+    # both indexes and both scorings read the profiles; kept in memory or on disk, they are worked out once a name
+    quoted, rows = profiled(_quoted(items), "quoted", "q").persist(), profiled(_table_rows(prices), "name", "n").persist()
     if mode == "exact":
         first = _ranked(_scored(sharing(quoted, rows)))
         bounds = first.where(F.col("rank") == CANDIDATES).select("table_id", "quoted", F.col("set").alias("bound"))
@@ -177,7 +178,7 @@ def match_names(items: DataFrame, prices: DataFrame, rules: BrandRules = BrandRu
     A candidate's tier doesn't depend on the others', so one aggregate by (tier, score, rank) replaces a
     cascade of joins.
     """
-    found = with_locks(candidates(items, prices, mode), rules, known)
+    found = with_locks(candidates(items, prices, mode).persist(), rules, known)
     same = first_word(F.col("quoted")) == first_word(F.col("name"))
     brand = longest_brand(F.col("quoted"), rules)
     has_brand = (brand == "") | F.contains(F.concat(F.lit(" "), F.col("name"), F.lit(" ")), F.concat(F.lit(" "), brand, F.lit(" ")))
