@@ -15,7 +15,7 @@ from mercadia.operators.locks import light_locks, strict_locks
 from mercadia.operators.recognise import recognise
 from mercadia.plans.registry import query
 from mercadia.plans.views import ITEM_ID, SQL_MATCHED, SQL_PRICES, price_rows, quote_rows, spread, table
-from mercadia.sources.sinks import result_cells, term_table
+from mercadia.sources.sinks import first_empty_cells, result_cells, term_table
 
 _ID = ", ".join(ITEM_ID)
 
@@ -195,6 +195,18 @@ def q_result_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result_cells(items, cells).groupBy("file", "sheet", "row", "col").agg(F.count(F.lit(1)).alias("cells"), F.min("value").alias("lowest"))
 
 
+# sheets of orders: a line's number is a column that is taken, unless its quantity leaves it blank
+@query("""
+    WITH s AS (SELECT DISTINCT l_orderkey % 16 AS file, l_orderkey AS row, CAST(l_orderkey % 3 + 1 AS INTEGER) AS start_col, CASE WHEN l_orderkey % 5 = 0 THEN 2 END AS price_col FROM lineitem),
+    c AS (SELECT l_orderkey AS row, l_linenumber AS col FROM lineitem WHERE l_quantity >= 10),
+    f AS (SELECT s.row, min(k) AS first FROM (SELECT row, unnest(range(start_col, start_col + 9)) AS k FROM s) AS s LEFT JOIN c ON c.row = s.row AND c.col = k WHERE c.col IS NULL GROUP BY ALL)
+    SELECT file, s.row, coalesce(price_col, CAST(first AS INTEGER)) AS col FROM s JOIN f ON f.row = s.row""")
+def q_first_empty_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 16).alias("file"), F.lit(1).alias("sheet"), F.col("l_orderkey").alias("row"), F.col("l_linenumber").cast("int").alias("col"), F.when(F.col("l_quantity") >= 10, "x").otherwise(" ").alias("value"))
+    rows = line.select("file", "sheet", "row", F.when(F.col("row") % 5 == 0, F.lit(2)).alias("price_col"), (F.col("row") % 3 + 1).cast("int").alias("start_col")).distinct()
+    return first_empty_cells(rows, line).select("file", "row", "col")
+
+
 @query("""SELECT l_orderkey AS cart_id, count(*) AS lines, CAST(sum(CAST(p_retailprice AS DECIMAL(18,2)) * CAST(l_quantity AS INTEGER)) AS DOUBLE) AS total
     FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size % 4 <> 0 GROUP BY 1""")
 def q_cart_total(spark: SparkSession, sf_dir: str) -> DataFrame:

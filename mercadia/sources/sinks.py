@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercadia.functions.prices import term_price
@@ -21,6 +21,21 @@ def result_cells(items: DataFrame, cells: DataFrame) -> DataFrame:
     return priced.select("file", "sheet", F.col("row_no").alias("row"), F.coalesce("price_col", F.col("last_col") + 1).alias("col"), F.col("price").alias("value"))
 
 
+def first_empty_cells(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """rows (file, sheet, row, price_col, start_col) with col: price_col, or the first empty cell of the row from start_col on.
+
+    cells (file, sheet, row, col, value) are what stands in the sheets; null and blank values are empty. A row's occupied
+    columns from start_col on are numbered in order: as long as one stands where its number says, no cell is free before it.
+    """
+    key = ["file", "sheet", "row"]
+    taken = cells.where(F.trim(F.col("value").cast("string")) != "").select(*key, F.col("col").alias("taken")).distinct()
+    behind = rows.where("price_col IS NULL").select(*key, "start_col").distinct().join(taken, key).where("taken >= start_col")
+    place = F.row_number().over(Window.partitionBy(*key, "start_col").orderBy("taken"))
+    run = behind.withColumn("place", place).where(F.col("taken") - F.col("start_col") == F.col("place") - 1)
+    used = run.groupBy(*key, "start_col").agg(F.count(F.lit(1)).cast("int").alias("used"))
+    return rows.join(used, [*key, "start_col"], "left").withColumn("col", F.coalesce("price_col", F.col("start_col") + F.coalesce("used", F.lit(0)))).drop("used")
+
+
 def term_table(prices: DataFrame, percents: dict[int, float], terms: tuple[int, ...] = TERMS) -> DataFrame:
     """name, ean and one column of prices for each term: term_7 and so on. A term without a percentage costs the base price."""
     return prices.select("name", "ean", *[term_price(F.col("price"), F.lit(float(percents.get(t, 0.0)))).alias(f"term_{t}") for t in terms])

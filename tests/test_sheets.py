@@ -1,6 +1,9 @@
 """Headers and columns of sheets, as cases."""
 
+import random
+
 from mercadia.sources.sheets import base_table, header_row, price_table
+from mercadia.sources.sinks import first_empty_cells
 
 
 def cells(spark, rows):
@@ -23,3 +26,19 @@ def test_base_prices_come_from_the_last_column_of_numbers(spark):
     assert got == {"CAFE": 3.5, "ARROZ": 9.0, "FEIJAO": 8.0, "SAL": 2.0}
     # two numbers are too few: then the last column counts, which has none
     assert base_table(cells(spark, [["PRODUTO", "X", "OBS"], ["CAFE", "1", "a"], ["SAL", "2", "b"]])).count() == 0
+
+
+def test_first_empty_cells_of_random_sheets(spark):
+    rng = random.Random(2)
+    cells = {(f, r, c): rng.choice(["x", "x", "x", " ", "", None]) for f in range(3) for r in range(30) for c in range(12) if rng.random() < 0.8}
+    rows = [(f, 1, r, rng.choice([None, None, 4]), rng.randrange(1, 9)) for f in range(3) for r in range(32)]
+
+    def brute(f, r, preferred, col):
+        while preferred is None and (cells.get((f, r, col)) or "").strip():
+            col += 1
+        return col if preferred is None else preferred
+
+    sheet = spark.createDataFrame([(f, 1, r, c, v) for (f, r, c), v in cells.items()] + [(0, 1, 0, 3, "twice"), (0, 1, 0, 3, "twice")], "file int, sheet int, row int, col int, value string")
+    cells[0, 0, 3] = "twice"
+    got = first_empty_cells(spark.createDataFrame(rows, "file int, sheet int, row int, price_col int, start_col int"), sheet)
+    assert sorted((r.file, r.row, r.col) for r in got.collect()) == sorted((f, r, brute(f, r, p, s)) for f, _, r, p, s in rows)
