@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from mercadia.functions.codes import clean_ean, clean_ean_offer, clean_ean_page, clean_ean_photo, unit_ean_of_dun14
 from mercadia.functions.names import BrandRules, name_features, normalise_names
 from mercadia.functions.prices import adjusted, discounted, merge_price, offer_price, offer_prices, page_price, price_text, table_price, typed_price
-from mercadia.functions.similarity import set_ratio, sort_ratio
 from mercadia.functions.text import search_key, sorted_words
 from mercadia.operators import catalogue, fuzzy, matching
 from mercadia.operators.locks import light_locks, strict_locks
@@ -311,10 +310,7 @@ def _plain_names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 def q_name_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both ratios, in thousandths, of every quoted name with every name of its table, summed by quoted name."""
     items, prices = _plain_names(spark, sf_dir)
-    both = fuzzy.every_pair(items, prices)
-    thousandths = lambda r: F.round(r * 1000).cast("bigint")
-    scored = both.select("table_id", "quoted", thousandths(set_ratio("q", "n")).alias("s"), thousandths(sort_ratio("q", "n")).alias("o"))
-    return scored.groupBy("table_id", "quoted").agg(F.count(F.lit(1)).alias("names"), F.sum("s").alias("by_set"), F.sum("o").alias("by_sort"), F.max("s").alias("best"))
+    return fuzzy.ratio_sums(items, prices)
 
 
 @query(f"""
