@@ -150,6 +150,28 @@ def live_totals(changes: DataFrame) -> DataFrame:
 
 
 def rate_bound(calls: DataFrame, window: float) -> DataFrame:
-    """calls with how many came in the window up to each, itself included: an upper bound of the limiter's count."""
-    span = Window.partitionBy("client", "bucket").orderBy(F.unix_micros(F.col("at").cast("timestamp"))).rangeBetween(-round(window * 1_000_000), 0)
-    return calls.withColumn("calls_in_window", F.count(F.lit(1)).over(span))
+    """calls with how many came in the window up to each, itself included: an upper bound of the limiter's count.
+
+    A sliding frame is counted anew for each row. Here time is cut into slots as long as the window: what counts for a time is
+    in its slot, up to it, or in the slot before, from the window's beginning on; both are running sums over a slot's times.
+    """
+    width = round(window * 1_000_000)
+    at = F.unix_micros(F.col("at").cast("timestamp"))
+    times = calls.groupBy(F.col("client").alias("__c"), F.col("bucket").alias("__b"), at.alias("__t")).agg(F.count(F.lit(1)).alias("__n"))
+    if width <= 0:
+        counts = times
+    else:
+        # a time without a value has a slot of its own
+        slot = F.floor((F.col("__t") - F.pmod(F.col("__t"), F.lit(width))) / width)
+        keys = ("__c", "__b")
+        own = times.select(*keys, slot.alias("__s"), F.col("__t").alias("__x"), "__t", "__n", F.lit(0).alias("__probe"))
+        probes = times.where("__t IS NOT NULL").select(*keys, (slot - 1).alias("__s"), (F.col("__t") - width).alias("__x"), "__t", F.lit(0).cast("bigint").alias("__n"), F.lit(1).alias("__probe"))
+        whole = Window.partitionBy(*keys, "__s")
+        # in both directions a probe comes after the call of its time, which counts for it
+        upto = F.sum("__n").over(whole.orderBy("__x", "__probe").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        since = F.sum("__n").over(whole.orderBy(F.desc("__x"), "__probe").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        part = own.unionByName(probes).withColumns({"__up": upto, "__since": since})
+        part = part.withColumn("__n", F.when(F.col("__probe") == 1, F.col("__since")).otherwise(F.col("__up")))
+        counts = part.groupBy(*keys, "__t").agg(F.sum("__n").alias("__n"))
+    same = F.col("client").eqNullSafe(F.col("__c")) & F.col("bucket").eqNullSafe(F.col("__b")) & at.eqNullSafe(F.col("__t"))
+    return calls.join(counts, same).drop("__c", "__b", "__t").withColumnRenamed("__n", "calls_in_window")
