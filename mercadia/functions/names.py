@@ -11,6 +11,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mercadia.functions.answers import answers, literal, lookup
+from mercadia.functions.answers import words as _words
 from mercadia.functions.text import fold_ascii
 
 #: Rows a rule table may have: rules become literals of the plan.
@@ -84,7 +86,7 @@ class NameRules:
 
 
 def _pairs(rules: tuple[tuple[str, str], ...]) -> Column:
-    return F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in rules])
+    return F.expr(literal([{"a": a, "b": b} for a, b in rules]))
 
 
 _UNITS = (
@@ -201,13 +203,6 @@ def bare_numbers(name: Column) -> Column:
     return F.filter(F.transform(_all(name, r"(?<!\d)(\d{2,4})(?!\d|G|KG|ML|L)", 1), lambda x: x.try_cast("double")), lambda x: x.between(50, 2000))
 
 
-def measure_tolerance(a: Column, b: Column) -> Column:
-    """How near the smaller of two measures must come to the larger, as a share."""
-    wine = lambda n: F.contains(n, F.lit("VIN ")) | n.startswith("VIN")
-    strict = "MAIONESE|MAION|ACHOC|AZEITE|OLEO|CAFE|PAPEL ALUM|TRIDENT|SH |COND |CR PENTE|SUSTAGEM|EXTR TOM"
-    return F.when(wine(a) | wine(b), F.lit(0.85)).when(a.rlike(strict) | b.rlike(strict), F.lit(0.95)).otherwise(F.lit(0.7))
-
-
 #: Signs of a category that count in names; fixed values. A trailing blank asks for a whole word.
 CATEGORY_SIGNS = (
     ("AGUA SANITARIA", ("AGUA SANIT", "AGUA SAN ", "SANITARIA")),
@@ -356,10 +351,6 @@ class BrandRules:
         return BrandRules(brands, tuple(map(tuple, found.values())))
 
 
-def _words(values) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
-
-
 def _sign(name: Column, sign: str) -> Column:
     """Whether a sign is in a name: as a whole word, or as a substring if it has several words."""
     if sign.endswith(" "):
@@ -381,22 +372,49 @@ def _those(name: Column, table) -> Column:
 
 
 def _canonical(categories: Column, more: tuple[tuple[str, str], ...] = ()) -> Column:
-    same = F.create_map(*[F.lit(x) for pair in (*SAME_CATEGORY, *more) for x in pair])
+    same = lookup(dict((*SAME_CATEGORY, *more)), "string")
     return F.array_distinct(F.transform(categories, lambda c: F.coalesce(F.try_element_at(same, c), c)))
 
 
+#: Kinds are numbered through: their group's number times this, and their place in it.
+KINDS = 10_000
+
+
 def _kinds(name: Column, groups: tuple[tuple[str, ...], ...]) -> Column:
-    """Of each group the first kind in its order that a name holds, or null: as a substring if it has a blank, else as a word."""
+    """Numbers of the first kind of each group, in its order, that a name holds: as a substring if it has a blank, else as a word."""
     letters = F.regexp_replace(name, "[^A-Z0-9]", " ")
-    listed = F.array(*[F.array(*[F.struct(F.lit(k).alias("k"), F.lit(f" {k} " if k.isalnum() and k.isascii() else "").alias("w")) for k in g]) for g in groups if len(g) > 1])
+    kind = lambda g, i, k: {"k": k, "w": f" {k} " if k.isalnum() and k.isascii() else "", "id": g * KINDS + i}
+    listed = F.expr(literal([[kind(n, i, k) for i, k in enumerate(g)] for n, g in enumerate(groups) if len(g) > 1]))
     padded = F.concat(F.lit(" "), letters, F.lit(" "))
     word = lambda k: F.concat(F.lit(r"(?<![A-Z0-9])\Q"), k, F.lit(r"\E(?![A-Z0-9])"))
     held = lambda x: F.when(x["w"] != "", F.contains(padded, x["w"])).when(F.contains(x["k"], F.lit(" ")), F.contains(name, x["k"])).otherwise(F.rlike(name, word(x["k"])))
-    return F.transform(listed, lambda g: F.get(F.filter(g, held), F.lit(0))["k"])
+    return F.array_compact(F.transform(listed, lambda g: F.get(F.filter(g, held), F.lit(0))["id"]))
+
+
+#: Under which names the brand table lists a safe category's brands, where they differ.
+BRAND_LISTS = (
+    ("AGUA SANITARIA", ("SANITARIA",)),
+    ("COPO", ("COPO", "COPO DESC")),
+    ("DETERGENTE LOUCA", ("DET", "LV LOUCA")),
+    ("LIMPADOR", ("LIMP",)),
+    ("LIMPA VIDRO", ("LIMP",)),
+    ("LUSTRA MOVEL", ("LUSTRA",)),
+    ("FRAL", ("FRAL", "FRALDA")),
+    ("MAION", ("MAIONESE", "MAION")),
+    ("DESOD", ("DESOD", "DES")),
+    ("SALG", ("SALG", "BATATA")),
+    ("BATATA", ("BATATA", "SALG")),
+    ("CREME DENTAL", ("CR D", "CR DENTAL")),
+    ("VINHO", ("VIN", "VINHO")),
+)
 
 
 def name_features(name: Column, rules: BrandRules) -> Column:
-    """All that the locks ask of a normal name, as one struct: worked out once a distinct name, not once a pair."""
+    """All that the locks ask of a normal name, as one struct: worked out once a distinct name, not once a pair.
+
+    Neither the name nor its words are part of it: names with equal features are one to the locks. Brands stand by category:
+    `brands` beside `branded` (categories of the brand table that have one in the name), `safe_brands` beside `safe`.
+    """
     padded = F.concat(F.lit(" "), name, F.lit(" "))
     listed = _words(rules.categories)
     inside = F.filter(listed, lambda c: F.contains(name, F.concat(c, F.lit(" "))) | (name == c))
@@ -405,26 +423,46 @@ def name_features(name: Column, rules: BrandRules) -> Column:
     drop = lambda cats, if_in, value: F.when(F.array_contains(cats, if_in), F.array_remove(cats, value)).otherwise(cats)
     for if_in, value in (("AGUA SANITARIA", "AGUA"), ("LIMPA VIDRO", "LIMPADOR"), ("CREME DENTAL", "CREME")):
         safe = drop(safe, if_in, value)
-    branded = F.filter(_pairs(rules.brands), lambda r: F.contains(padded, F.concat(F.lit(" "), r["b"], F.lit(" ")))) if rules.brands else F.array().cast("array<struct<a:string,b:string>>")
-    sizes = measures(name)
-    return F.struct(
+    pairs = F.filter(_pairs(rules.brands), lambda r: F.contains(padded, F.concat(F.lit(" "), r["b"], F.lit(" ")))) if rules.brands else F.array().cast("array<struct<a:string,b:string>>")
+    raw = F.struct(
         name.alias("name"),
         F.split(name, " ").alias("tokens"),
         F.array_distinct(_all(name, "[A-Z]{3,}")).alias("letters"),
         inside.alias("inside"),
-        _canonical(inside).alias("categories"),
         safe.alias("safe"),
-        branded.alias("branded"),
-        sizes.alias("measures"),
-        F.filter(F.transform(sizes, measure_value), lambda v: v > 0).alias("values"),
-        foil_sizes(name).alias("foil"),
-        bare_numbers(name).alias("bare"),
-        F.array_distinct(_all(name, r"(?:C|L)(\d+)", 1)).alias("packs"),
-        F.array_distinct(F.concat(_all(name, r"\bC(\d+)\b", 1), _all(name, r"L(\d+)P", 1))).alias("packs_light"),
-        package_counts(name).alias("counts"),
+        pairs.alias("pairs"),
+        F.array_distinct(F.transform(pairs, lambda r: r["a"])).alias("branded"),
+        measures(name).alias("measures"),
         _those(name, FRAGRANCES).alias("fragrances"),
         _kinds(name, rules.subtypes).alias("kinds"),
     )
+    lists = lookup(dict(BRAND_LISTS), "array<string>")
+
+    def of(x: Column, names: Column) -> Column:
+        return F.array_distinct(F.transform(F.filter(x["pairs"], lambda r: F.array_contains(names, r["a"])), lambda r: r["b"]))
+
+    def told(x: Column) -> Column:
+        return F.struct(
+            *answers(x, rules.categories),
+            _canonical(x["inside"]).alias("categories"),
+            x["safe"].alias("safe"),
+            F.transform(x["safe"], lambda c: of(x, F.coalesce(F.try_element_at(lists, c), F.array(c)))).alias("safe_brands"),
+            x["branded"].alias("branded"),
+            F.transform(x["branded"], lambda c: of(x, F.array(c))).alias("brands"),
+            F.array_intersect(x["inside"], x["branded"]).alias("inside"),
+            F.filter(F.array_intersect(x["inside"], x["branded"]), lambda c: F.contains(x["name"], F.concat(c, F.lit(" ")))).alias("applied"),
+            x["measures"].alias("measures"),
+            F.filter(F.transform(x["measures"], measure_value), lambda v: v > 0).alias("values"),
+            foil_sizes(x["name"]).alias("foil"),
+            bare_numbers(x["name"]).alias("bare"),
+            F.array_distinct(_all(x["name"], r"(?:C|L)(\d+)", 1)).alias("packs"),
+            F.array_distinct(F.concat(_all(x["name"], r"\bC(\d+)\b", 1), _all(x["name"], r"L(\d+)P", 1))).alias("packs_light"),
+            package_counts(x["name"]).alias("counts"),
+            x["kinds"].alias("kinds"),
+            F.transform(x["kinds"], lambda k: F.floor(k / KINDS).cast("int")).alias("groups"),
+        )
+
+    return F.get(F.transform(F.array(raw), told), F.lit(0))
 
 
 def first_word(name: Column) -> Column:

@@ -34,7 +34,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from mercadia.functions import ratios
 from mercadia.functions.names import BrandRules, first_word, longest_brand, name_features
 from mercadia.functions.similarity import may_reach, profiled, set_ratio, sort_ratio
-from mercadia.operators.locks import blocked, knowledge, light_locks, strict_locks
+from mercadia.operators.locks import Lock, blocked, knowledge, light_locks, strict_locks
 from mercadia.operators.recognise import recognise
 
 #: Candidates of an item, and the least token-set ratio of one; a feature of the search.
@@ -74,6 +74,11 @@ def _by(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys to all cores, few rows too: the work on each of them is long."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8), *keys)
+
+
 def every_pair(items: DataFrame, prices: DataFrame) -> DataFrame:
     """All pairs of each table with both names profiled, as q and n."""
     return _dealt(profiled(_quoted(items), "quoted", "q"), profiled(_table_rows(prices), "name", "n"), F.lit(True))
@@ -226,16 +231,17 @@ def candidates(items: DataFrame, prices: DataFrame, mode: str = "exact") -> Data
 def with_locks(found: DataFrame, rules: BrandRules, known: DataFrame | None = None) -> DataFrame:
     """Candidates with the flags strict and light: whether locks of either kind block the pair.
 
-    Features are worked out once a distinct name and joined to the pairs. With a knowledge table (see
+    Features are worked out once a distinct name, in a row of their own so that no field is worked out apart, and joined to the pairs. With a knowledge table (see
     operators.recognise) both kinds also block pairs whose recognised products conflict.
     """
-    names = found.select(F.explode(F.array("quoted", "name")).alias("n")).distinct()
+    names = _spread(found.select(F.explode(F.array("quoted", "name")).alias("n")).distinct(), "n")
     if known is None:
-        featured = names.select("n", name_features(F.col("n"), rules).alias("features"))
+        featured = names.select("n", F.explode(F.array(name_features(F.col("n"), rules))).alias("features"))
     else:
         fields = ("category", "brand", "flavour", "fragrance", "line", "confidence")
         products = recognise(names.select(F.col("n").alias("text")), known).select(F.col("text").alias("n"), F.struct(*fields).alias("product"))
-        featured = names.join(products, "n", "left").select("n", name_features(F.col("n"), rules).withField("product", F.col("product")).alias("features"))
+        featured = names.join(products, "n", "left").select("n", F.explode(F.array(name_features(F.col("n"), rules).withField("product", F.col("product")))).alias("features"))
+    featured = featured.persist()
     out = found.join(featured.select(F.col("n").alias("quoted"), F.col("features").alias("fa")), "quoted").join(featured.select(F.col("n").alias("name"), F.col("features").alias("fb")), "name")
     strict = blocked(F.col("fa"), F.col("fb"), strict_locks(rules))
     light = blocked(F.col("fa"), F.col("fb"), light_locks(rules))
@@ -245,6 +251,26 @@ def with_locks(found: DataFrame, rules: BrandRules, known: DataFrame | None = No
     return out.withColumns({"strict": strict, "light": light}).drop("fa", "fb")
 
 
+def blocked_pairs(items: DataFrame, prices: DataFrame, locks: dict[str, Lock], rules: BrandRules) -> DataFrame:
+    """(lock, pairs): how many distinct pairs of names that some table holds each lock blocks.
+
+    Names with equal features that stand in the same tables are one row with their number, and a pair of such rows is asked
+    once, in the first table of both: pairs are made where the features are and none is shuffled.
+    """
+
+    features = name_features(F.col("name"), rules).alias("f")
+
+    def told(names: DataFrame, name: str, p: str) -> DataFrame:
+        held = _spread(names.groupBy(F.col(name).alias("name")).agg(F.sort_array(F.collect_set("table_id")).alias(f"{p}_tables")), "name").select(f"{p}_tables", features)
+        return held.groupBy(f"{p}_tables", F.col("f").alias(name)).agg(F.count(F.lit(1)).alias(f"{p}_n")).select("*", F.explode(f"{p}_tables").alias("table_id")).persist()
+
+    a, b = told(_quoted(items), "quoted", "q"), told(prices.where("name <> ''").select("table_id", "name"), "name", "n")
+    first = F.array_min(F.array_intersect("q_tables", "n_tables")) == F.col("table_id")
+    met = _dealt(a, b, first).select((F.col("q_n") * F.col("n_n")).alias("n"), F.array(*[F.coalesce(lock(F.col("quoted"), F.col("name")), F.lit(False)) for lock in locks.values()]).alias("flags"))
+    counts = met.groupBy("flags").agg(F.sum("n").alias("n")).agg(*[F.coalesce(F.sum(F.when(F.col("flags")[i], F.col("n"))), F.lit(0)).alias(lock) for i, lock in enumerate(locks)])
+    return counts.select(F.explode(F.create_map(*[x for lock in locks for x in (F.lit(lock), F.col(lock))])).alias("lock", "pairs"))
+
+
 def tier_of(score: Column, strict: Column, light: Column, same_category: Column, brand_ok: Column) -> Column:
     """The tier that accepts a candidate, or null."""
     return (
@@ -260,12 +286,15 @@ def match_names(items: DataFrame, prices: DataFrame, rules: BrandRules = BrandRu
     A candidate's tier doesn't depend on the others', so one aggregate by (tier, score, rank) replaces a
     cascade of joins.
     """
-    found = with_locks(candidates(items, prices, mode).persist(), rules, known)
+    found = candidates(items, prices, mode).persist()
+    brands = found.select("quoted").distinct().withColumn("brand", longest_brand(F.col("quoted"), rules))
+    found = with_locks(found, rules, known).join(brands, "quoted")
     same = first_word(F.col("quoted")) == first_word(F.col("name"))
-    brand = longest_brand(F.col("quoted"), rules)
-    has_brand = (brand == "") | F.contains(F.concat(F.lit(" "), F.col("name"), F.lit(" ")), F.concat(F.lit(" "), brand, F.lit(" ")))
-    tiers = found.withColumn("tier", tier_of(F.col("score"), F.col("strict"), F.col("light"), same, has_brand)).where("tier IS NOT NULL")
-    best = tiers.groupBy("table_id", "quoted").agg(F.min_by(F.struct("tier", "score", "name", "price"), F.struct("tier", -F.col("score"), "rank")).alias("b"))
+    has_brand = (F.col("brand") == "") | F.contains(F.concat(F.lit(" "), F.col("name"), F.lit(" ")), F.concat(F.lit(" "), F.col("brand"), F.lit(" ")))
+    tiers = found.withColumn("tier", tier_of(F.col("score"), F.col("strict"), F.col("light"), same, has_brand))
+    # a filter on the tier would ask the locks apart from the column; without an order a row isn't the best
+    order = F.when(F.col("tier").isNotNull(), F.struct("tier", -F.col("score"), "rank"))
+    best = tiers.groupBy("table_id", "quoted").agg(F.min_by(F.struct("tier", "score", "name", "price"), order).alias("b")).where("b IS NOT NULL")
     label = F.concat(F.when(F.col("b.tier") == 3, F.lit("APROX ")).otherwise(F.lit("SIMILAR ")), F.floor(F.col("b.score") * 100).cast("string"), F.lit("%"))
     return best.select("table_id", F.col("quoted").alias("name"), F.col("b.price").alias("price"), label.alias("kind"), F.col("b.name").alias("matched"))
 

@@ -1,7 +1,8 @@
 """Locks: conditions under which two product names must not share a price, as Column expressions.
 
 A lock takes the features (functions.names.name_features) of the quoted item's name and of the price table's
-name, in this order, and is true where the pair is blocked. `strict` and `light` combine them.
+name, in this order, and is true where the pair is blocked. `strict` and `light` combine them. What is asked of one name
+alone is answered in its features, mostly as bits of sets of words (functions.answers): a lock only compares answers.
 
 Where a group of kinds excludes one another, the first kind in the group's order that a name holds counts.
 """
@@ -14,90 +15,49 @@ from functools import reduce, wraps
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mercadia.functions.names import BrandRules, measure_tolerance
+from mercadia.functions.answers import held, yes
+from mercadia.functions.names import BrandRules
 
 Lock = Callable[[Column, Column], Column]
 
-# ---- fixed values ----
-FRUITS = ("ABACAXI", "ACEROLA", "AMORA", "BANANA", "CAJU", "CARAMBOLA", "CEREJA", "COCO", "FRAMBOESA", "GOIABA", "GRAPE", "GUARANA", "JABUTICABA", "LARANJA", "LIMAO", "MACA", "MAMAO", "MANGA", "MARACUJA", "MELANCIA", "MORANGO", "PESSEGO", "TANGERINA", "TAMARINDO", "UVA", "UVAIA")
-FLAVOURS = ("ABACAXI", "ACEROLA", "AMORA", "BANANA", "BAUNILHA", "BERRY", "CAJU", "CARAMBOLO", "CEREJA", "CHOC", "CHOCOLATE", "COCO", "CREME", "CREM", "FRAMBOESA", "GOIABA", "GRAPE", "GUARANA", "LARANJA", "LIMAO", "MACA", "MAMAO", "MANGA", "MARACUJA", "MELANCIA", "MENTA", "MORANGO", "PESSEGO", "TANGERINA", "TAMARINDO", "UVA", "UVAIA")
-SNACK_FLAVOURS = ("ORIG", "ORIGINAL", "TRAD", "TRADICIONAL", "QUEIJO", "CHEDDAR", "REQUEIJAO", "CHURRASCO", "CEBOLA", "SALSA", "BACON", "PAPRICA", "PIMENTA", "PICANTE", "CREME", "CREM", "NACHO", "PRESUNTO", "BARBECUE", "BBQ", "RANCH", "CREAMCHEESE")
-STOCK_FLAVOURS = ("BACON", "CARNE", "COSTELA", "GALINHA", "FRANGO", "LEGUMES", "PICANHA", "CAMARAO", "PEIXE", "FEIJAO", "COSTELINHA")
-STOCK_BRANDS = ("KNORR", "MAGGI")
-FISH_VARIANTS = ("TOMATE", "MOLHO", "PICANTE", "LIMAO", "OLEO", "DEFUMADO", "NATURAL")
-ALCOHOL_FRAGRANCES = ("EUCALIPTO", "LAVANDA", "MIMO", "CITRONELA", "CRAVO", "BAUNILHA", "CANELA", "ERVA DOCE", "FLORAL", "CITRICO")
-SPIRITS = ("VODKA", "APERITIVO", "CACHAC", "AGUARD", "CONHAQUE", "WHISKY")
-DIAPER_SIZES = ("P", "M", "G", "PQ", "MD", "GD", "XG", "XXG", "XXXG", "RN", "PP", "XP")
-RAZOR_LINES = ("SOLEIL", "SENSIVEL", "SENSITIVE", "INTENSITY", "COMFORT", "VENUS")
-WINE_COLOURS = ("TINTO", "BRANCO", "ROSE")
-FISH_CUTS = ("SOLIDO", "PEDACO", "RALADO")
-#: Words of variants of which two names must share one if both have any.
-VARIANTS = (
-    "ABACAXI", "ACEROLA", "ACONCHEGO", "ALGODAO", "ALHO", "AMENDOA", "AMORA", "AZUL", "BABOSA", "BAMBU", "BANANA", "BAUNILHA", "BICARBONATO", "BIOTINA", "BRANCO", "BRISA", "CACAU", "CAJU", "CAMOMILA", "CAMPESTRE",
-    "CANELA", "CAPIM", "CAPPUCCINO", "CEREJA", "CHA", "CHOCOLATE", "CITRICO", "CITRONELA", "CLEAR", "COCO", "COLONIA", "CRISTAL", "CUIDADO", "ERVA", "EUCAL", "EUCALIPTO", "FLOR", "FLORAL", "FRAMBOESA", "FRESCOR",
-    "FRESH", "GLICERINA", "GOIABA", "GRAPE", "GUARANA", "HIALURONICO", "HORTELA", "INVISIBLE", "JASMIM", "KARITE", "LARANJA", "LAVANDA", "LIMAO", "LIRIOS", "MACA", "MACIEZ", "MAMAE", "MANGA", "MARACUJA", "MARINE",
-    "MEL", "MELANCIA", "MENTA", "MICELAR", "MORANGO", "NEUTRO", "NOZES", "ORQUIDEA", "PESSEGO", "PIMENTA", "PINHO", "POWDER", "PRETO", "PRIMAVERA", "PURO", "RESTAURACAO", "ROSA", "ROSAS", "ROXO", "SEDA",
-    "SPORT", "SUPREME", "TALCO", "TANGERINA", "TURQUESA", "TUTTI", "UVA", "VERAO", "VERDE", "PICANTE", "VERMELHA", "VERMELHO", "VERMELHAS", "VERMELHOS", "AMARELA", "AMARELO", "INCOLOR", "ARDOSIA", "DOURADO", "DOURADA",
-    "YOGURTE", "CANDY", "VANILLA", "FIERCE", "PASSION", "OCEAN", "ENERGY", "EXTREME", "DETOX", "CLASS", "VANILLE", "CARVA", "PROTECAO", "SECA", "SENSIVEL", "LOVE", "MOVING", "ALUM", "BLACK", "ACTIVE",
-    "INVISI", "HIDRATACAO", "CERAMIDAS", "NUTRICAO", "BOMBA", "BRILHO", "LISO", "CACHEADO", "ONDULADO", "FRIZZ", "RECONSTRUCAO",
-)
-#: Categories whose brand must be told on both sides or on neither.
-BRAND_REQUIRED = ("AGUA SANITARIA", "AGUA COCO", "ACUCAR", "ALGODAO", "AMAC", "AMIDO", "ANIL", "DESINF", "DETERGENTE LOUCA", "LAVA ROUPA", "LIMPADOR", "LIMPA VIDRO", "LUSTRA MOVEL", "FRAL", "INSET", "APAR", "ALCOOL", "SH", "COND", "CR TRAT", "CR LEITE", "SAB", "DESOD", "CREME DENTAL", "SALG", "BATATA", "LA ACO", "MAION", "COPO", "ERVILHA", "MILHO")
-#: Categories whose fragrances must agree.
-SCENTED = ("AGUA SANITARIA", "ALCOOL", "AMAC", "DESINF", "DETERGENTE LOUCA", "LAVA ROUPA", "LIMPADOR", "LIMPA VIDRO", "LUSTRA MOVEL", "SAPONACEO")
-#: Under which names the brand table lists a safe category's brands, where they differ.
-BRAND_LISTS = (
-    ("AGUA SANITARIA", ("SANITARIA",)),
-    ("COPO", ("COPO", "COPO DESC")),
-    ("DETERGENTE LOUCA", ("DET", "LV LOUCA")),
-    ("LIMPADOR", ("LIMP",)),
-    ("LIMPA VIDRO", ("LIMP",)),
-    ("LUSTRA MOVEL", ("LUSTRA",)),
-    ("FRAL", ("FRAL", "FRALDA")),
-    ("MAION", ("MAIONESE", "MAION")),
-    ("DESOD", ("DESOD", "DES")),
-    ("SALG", ("SALG", "BATATA")),
-    ("BATATA", ("BATATA", "SALG")),
-    ("CREME DENTAL", ("CR D", "CR DENTAL")),
-    ("VINHO", ("VIN", "VINHO")),
-)
-
 
 # ---- building blocks ----
-def _array(values) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+def _some(c: Column) -> Column:
+    return F.size(c) > 0
 
 
-def _has(x: Column, *words: str) -> Column:
-    """Whether a name has one of the words as a token."""
-    return F.arrays_overlap(x["tokens"], _array(words))
+def _apart(a: Column, b: Column) -> Column:
+    """Both have values and none is shared."""
+    return _some(a) & _some(b) & ~F.arrays_overlap(a, b)
 
 
-def _in(x: Column, *texts: str) -> Column:
-    """Whether one of the texts is anywhere in a name."""
-    return reduce(lambda a, b: a | b, [F.contains(x["name"], F.lit(t)) for t in texts])
+def _clash(a: Column, b: Column, *sets: str) -> Column:
+    """Both hold words of the sets and share none."""
+    any_ = lambda bits: reduce(lambda p, q: p | q, [x != 0 for x in bits])
+    of = lambda x: [held(x, s) for s in sets]
+    return any_(of(a)) & any_(of(b)) & ~any_([x.bitwiseAND(y) for x, y in zip(of(a), of(b))])
 
 
-def _word(x: Column, word: str) -> Column:
-    return x["name"].rlike(rf"(?<![A-Z0-9]){word}(?![A-Z0-9])")
+def _differ(a: Column, b: Column, of: str) -> Column:
+    """The words of a set that they hold aren't the same."""
+    return held(a, of) != held(b, of)
 
 
-def _some(c: Column) -> Column:
-    return F.size(c) > 0
+def _shared(a: Column, b: Column, of: str) -> Column:
+    """Whether both hold one word of a set."""
+    return held(a, of).bitwiseAND(held(b, of)) != 0
 
 
-def _apart(a: Column, b: Column) -> Column:
-    """Both have values and none is shared."""
-    return _some(a) & _some(b) & ~F.arrays_overlap(a, b)
+def _both(a: Column, b: Column, *flags: str) -> Column:
+    return yes(a, *flags) & yes(b, *flags)
 
 
-def _of(x: Column, field: str, values) -> Column:
-    return F.array_intersect(x[field], _array(values))
+def _either(a: Column, b: Column, *flags: str) -> Column:
+    return yes(a, *flags) | yes(b, *flags)
 
 
-def _shared(a: Column, b: Column, values) -> Column:
-    """Whether both are safely of one of the categories."""
-    return _some(F.array_intersect(F.array_intersect(a["safe"], b["safe"]), _array(values)))
+def _one(a: Column, b: Column, *flags: str) -> Column:
+    return yes(a, *flags) != yes(b, *flags)
 
 
 def _either_way(lock: Lock) -> Lock:
@@ -108,14 +68,22 @@ def _either_way(lock: Lock) -> Lock:
     return both
 
 
+def _at(values: Column, keys: Column, key: Column) -> Column:
+    """The value beside a key, or null."""
+    return F.get(values, F.array_position(keys, key).cast("int") - 1)
+
+
+def _brands(x: Column, category: Column) -> Column:
+    """The brands of a category of the brand table that a name holds, or null for none."""
+    return _at(x["brands"], x["branded"], category)
+
+
 def _brands_of(x: Column, categories: tuple[str, ...]) -> Column:
-    listed = _array(categories)
-    return F.array_distinct(F.transform(F.filter(x["branded"], lambda r: F.array_contains(listed, r["a"])), lambda r: r["b"]))
+    return F.flatten(F.array_compact(F.array(*[_brands(x, F.lit(c)) for c in categories])))
 
 
-def _differ(a: Column, b: Column, kind: Callable[[Column], Column]) -> Column:
-    x, y = kind(a), kind(b)
-    return x.isNotNull() & y.isNotNull() & (x != y)
+def _no(c: Column) -> Column:
+    return F.coalesce(c, F.lit(False))
 
 
 # ---- locks ----
@@ -123,31 +91,25 @@ def category_clash(a: Column, b: Column) -> Column:
     return _apart(a["safe"], b["safe"])
 
 
-def _safe_brands(x: Column, common: Column) -> Column:
-    lists = F.create_map(*[y for category, names in BRAND_LISTS for y in (F.lit(category), _array(names))])
-    names = F.flatten(F.transform(common, lambda c: F.coalesce(F.try_element_at(lists, c), F.array(c))))
-    return F.array_distinct(F.transform(F.filter(x["branded"], lambda r: F.array_contains(names, r["a"])), lambda r: r["b"]))
-
-
 def brand_clash(a: Column, b: Column) -> Column:
     """Of a shared safe category: different brands, or a brand on one side alone where it is required."""
     common = F.array_intersect(a["safe"], b["safe"])
-    x, y = _safe_brands(a, common), _safe_brands(b, common)
-    required = F.arrays_overlap(common, _array(BRAND_REQUIRED)) & (_some(x) != _some(y))
-    return _some(common) & (_apart(x, y) | required)
+    of = lambda x: F.flatten(F.transform(common, lambda c: _at(x["safe_brands"], x["safe"], c)))
+    both = F.array(F.struct(of(a).alias("x"), of(b).alias("y")))
+    return F.arrays_overlap(a["safe"], b["safe"]) & F.exists(both, lambda p: _apart(p["x"], p["y"]) | (_shared(a, b, "branded") & (_some(p["x"]) != _some(p["y"]))))
 
 
 def snack_flavour(a: Column, b: Column) -> Column:
-    return _shared(a, b, ("BATATA", "SALG")) & _apart(_of(a, "letters", SNACK_FLAVOURS), _of(b, "letters", SNACK_FLAVOURS))
+    return _shared(a, b, "salty") & _clash(a, b, "snack")
 
 
 def cleaning_fragrance(a: Column, b: Column) -> Column:
-    return _shared(a, b, SCENTED) & (F.array_sort(a["fragrances"]) != F.array_sort(b["fragrances"]))
+    return _shared(a, b, "scented") & _differ(a, b, "fragrance")
 
 
 def package_count(a: Column, b: Column) -> Column:
-    cups = _shared(a, b, ("COPO",)) & (_some(a["counts"]) != _some(b["counts"]))
-    return _shared(a, b, ("FRAL", "INSET", "APAR", "COPO")) & (cups | _apart(a["counts"], b["counts"]))
+    cups = _shared(a, b, "cups") & (_some(a["counts"]) != _some(b["counts"]))
+    return _shared(a, b, "counted") & (cups | _apart(a["counts"], b["counts"]))
 
 
 def cross_category(a: Column, b: Column) -> Column:
@@ -155,30 +117,30 @@ def cross_category(a: Column, b: Column) -> Column:
 
 
 def olive_oil_kind(a: Column, b: Column) -> Column:
-    def kind(x: Column) -> Column:
-        oil = F.contains(F.concat(F.lit(" "), x["name"], F.lit(" ")), F.lit(" AZEITE ")) | x["name"].startswith("AZEITE")
-        return F.when(oil & _has(x, "RESERVA"), F.lit("R")).when(oil & _has(x, "EXTRAVIRGEM"), F.lit("E")).when(oil & (_in(x, "TIPO UNICO", "TIPOUNICO") | _has(x, "TRAD")), F.lit("U"))
-
-    return _differ(a, b, kind)
+    return _clash(a, b, "oil")
 
 
 def foil_size(a: Column, b: Column) -> Column:
     return _apart(a["foil"], b["foil"])
 
 
+def _tolerance(a: Column, b: Column) -> Column:
+    """How near the smaller of two measures must come to the larger, as a share."""
+    return F.when(_either(a, b, "wine"), F.lit(0.85)).when(_either(a, b, "near"), F.lit(0.95)).otherwise(F.lit(0.7))
+
+
 def weight(a: Column, b: Column, exempt: tuple[str, ...] = ()) -> Column:
-    """No measure is shared and none comes near another."""
-    least = measure_tolerance(a["name"], b["name"])
-    near = F.exists(a["values"], lambda v: F.exists(b["values"], lambda w: F.least(v, w) / F.greatest(v, w) >= least))
-    free = reduce(lambda p, q: p | q, [_in(a, t) & _in(b, t) for t in exempt], F.lit(False))
-    return _apart(a["measures"], b["measures"]) & ~near & ~free
+    """No measure is shared and none comes near another. `exempt`: flags of which a pair must not share one."""
+    near = F.exists(a["values"], lambda v: F.exists(b["values"], lambda w: F.least(v, w) / F.greatest(v, w) >= _tolerance(a, b)))
+    free = reduce(lambda p, q: p | q, [_both(a, b, t) for t in exempt], F.lit(False))
+    return _apart(a["measures"], b["measures"]) & ~free & ~near
 
 
 @_either_way
 def implied_weight(a: Column, b: Column) -> Column:
     """A number without a unit against measures of which one is far from it."""
     far = F.exists(a["bare"], lambda n: F.exists(b["values"], lambda v: F.least(n, v) / F.greatest(n, v) < 0.7))
-    return ~_some(a["measures"]) & _some(b["measures"]) & far
+    return ~_some(a["measures"]) & _some(b["measures"]) & _some(a["bare"]) & far
 
 
 def pack_size(a: Column, b: Column) -> Column:
@@ -189,120 +151,101 @@ def pack_size_light(a: Column, b: Column) -> Column:
     return _apart(a["packs_light"], b["packs_light"])
 
 
-def _applied(x: Column, category: Column) -> Column:
-    """Whether a name is of a category of the brand table: the category's words stand before others in it."""
-    return F.contains(x["name"], F.concat(category, F.lit(" ")))
-
-
-def _of_category(x: Column, category: Column) -> Column:
-    return F.transform(F.filter(x["branded"], lambda r: r["a"] == category), lambda r: r["b"])
-
-
+@_either_way
 def category_brand(a: Column, b: Column) -> Column:
-    """Different brands of a category that either name is of."""
-    return F.exists(F.array_union(a["inside"], b["inside"]), lambda c: (_applied(a, c) | _applied(b, c)) & _apart(_of_category(a, c), _of_category(b, c)))
+    """Different brands of a category that either name is of: its words stand before others in the name."""
+    return F.exists(a["applied"], lambda c: _no(~F.arrays_overlap(_brands(a, c), _brands(b, c))))
 
 
+@_either_way
 def brand_across_categories(a: Column, b: Column) -> Column:
     """The same brand of a category that only one of the names is of."""
-    return F.exists(F.array_union(a["inside"], b["inside"]), lambda c: (_applied(a, c) != _applied(b, c)) & F.arrays_overlap(_of_category(a, c), _of_category(b, c)))
+    return F.exists(a["applied"], lambda c: ~F.array_contains(b["applied"], c) & _no(F.arrays_overlap(_brands(a, c), _brands(b, c))))
 
 
 def subtype(a: Column, b: Column) -> Column:
-    """Different kinds of a group of which a name can be of one."""
-    return F.exists(F.zip_with(a["kinds"], b["kinds"], lambda x, y: F.coalesce(x != y, F.lit(False))), lambda d: d)
+    """Different kinds of a group of which a name can be of one: not all groups of both have the same kind."""
+    return F.size(F.array_intersect(a["groups"], b["groups"])) > F.size(F.array_intersect(a["kinds"], b["kinds"]))
 
 
-def variant_words(rules: BrandRules) -> Lock:
-    names = [v for v in VARIANTS if v not in rules.categories]
-    return lambda a, b: _apart(_of(a, "letters", names), _of(b, "letters", names))
+def variant_words(a: Column, b: Column) -> Column:
+    return _clash(a, b, "variants", "more variants", "last variants")
 
 
 def fruit(a: Column, b: Column) -> Column:
-    return _apart(_of(a, "letters", FRUITS), _of(b, "letters", FRUITS))
+    return _clash(a, b, "fruit")
 
 
 def flavour(a: Column, b: Column) -> Column:
-    return _apart(_of(a, "letters", FLAVOURS), _of(b, "letters", FLAVOURS))
+    return _clash(a, b, "flavour")
 
 
 @_either_way
 def olive_oil_line(a: Column, b: Column) -> Column:
-    lines = [_in(a, t) & ~_in(b, t) for t in ("EXTRAVIRGEM", "SUAVE", "DIA A DIA")]
-    return _in(b, "AZEITE") & (lines[0] | lines[1] | lines[2])
+    lines = ("EXTRAVIRGEM", "SUAVE", "DIA A DIA")
+    return yes(b, "AZEITE") & (held(a, "flags", *lines).bitwiseAND(F.bitwise_not(held(b, "flags", *lines))) != 0)
 
 
 @_either_way
 def milk_kind(a: Column, b: Column) -> Column:
-    special = ("SEMI", "SEMIDESNATADO", "DESNATADO", "Z LAC", "ZERO LACTOSE", "0% LACTOSE")
-    return (_in(a, "LEITE") | _in(b, "LEITE")) & _in(a, *special) & ~_in(b, *special, "INTEGRAL")
+    return _either(a, b, "LEITE") & yes(a, "skimmed") & ~yes(b, "skimmed or whole")
 
 
 @_either_way
 def light_sauce(a: Column, b: Column) -> Column:
-    return _in(a, "LIGHT") & ~_in(b, "LIGHT") & _in(b, "MAIONESE", "MAION", "MOLHO")
+    return yes(a, "LIGHT") & ~yes(b, "LIGHT") & yes(b, "mayonnaise or sauce")
 
 
 @_either_way
 def sachet_or_pot(a: Column, b: Column) -> Column:
-    return _has(a, "SACHE", "SACHET") & _has(b, "POTE", "COPO", "BALDE", "BISNAGA")
+    return yes(a, "sachet") & yes(b, "pot")
 
 
 @_either_way
 def can_or_sachet(a: Column, b: Column) -> Column:
-    foods = ("MILHO", "ERVILHA", "ATUM", "SARD")
-    return (_in(a, *foods) | _in(b, *foods)) & _word(a, "LT") & _word(b, "SC")
+    return yes(a, "LT") & yes(b, "SC") & _either(a, b, "canned")
 
 
 @_either_way
 def carton_or_glass(a: Column, b: Column) -> Column:
-    drinks = ("SUCO", "REFR", "AGUA", "LEITE")
-    ends = lambda x, w: x["name"].rlike(f" {w}( |$)")
-    return (_in(a, *drinks) | _in(b, *drinks)) & ends(a, "TP") & ends(b, "VD")
+    return yes(a, "TP") & yes(b, "VD") & _either(a, b, "drink")
 
 
 def alcohol(a: Column, b: Column) -> Column:
     """Gel against liquid, other degrees, or other fragrances."""
-    degrees = lambda x: F.regexp_extract_all(x["name"], F.lit(r"(?<!\d)(46(?:\.2)?|70|80|92|96)(?!\d)"), F.lit(1))
-    scents = lambda x: F.filter(_array(ALCOHOL_FRAGRANCES), lambda f: F.contains(x["name"], f))
-    scent = (_some(scents(a)) != _some(scents(b))) | _apart(scents(a), scents(b))
-    return _in(a, "ALCOOL") & _in(b, "ALCOOL") & ((_has(a, "GEL") != _has(b, "GEL")) | _apart(degrees(a), degrees(b)) | scent)
+    scent = ((held(a, "scents") != 0) != (held(b, "scents") != 0)) | _clash(a, b, "scents")
+    return _both(a, b, "ALCOOL") & (_one(a, b, "GEL") | _clash(a, b, "degrees") | scent)
 
 
 @_either_way
 def deodorant_for(a: Column, b: Column) -> Column:
-    names = ("DES ", "DESOD ", "DESODORANTE ")
-    return _in(a, *names) & _in(b, *names) & a["name"].rlike(r"\bF\b") & b["name"].rlike(r"\bM\b")
+    return _both(a, b, "deodorant") & yes(a, "F") & yes(b, "M")
 
 
 @_either_way
 def powder_or_liquid(a: Column, b: Column) -> Column:
-    return (_has(a, "PO") | _in(a, "LAVA ROUPA PO")) & (_has(b, "LIQ", "LQ") | _in(b, "LAVA ROUPA LIQ", "LAVA ROUPA LQ"))
+    return yes(a, "powder") & yes(b, "liquid")
 
 
 def diaper_size(a: Column, b: Column) -> Column:
-    return (_in(a, "FRAL") | _in(b, "FRAL")) & _apart(_of(a, "tokens", DIAPER_SIZES), _of(b, "tokens", DIAPER_SIZES))
+    return _either(a, b, "FRAL") & _clash(a, b, "diaper")
 
 
 def corn_and_peas(a: Column, b: Column) -> Column:
     """A mixture against one alone, or corn against peas."""
-    mixed = lambda x: _in(x, "MILHO") & _in(x, "ERVILHA")
-    only = lambda x, w, v: _in(x, w) & ~_in(x, v)
+    mixed = lambda x: yes(x, "MILHO") & yes(x, "ERVILHA")
+    only = lambda x, w, v: yes(x, w) & ~yes(x, v)
     crossed = (only(a, "ERVILHA", "MILHO") & only(b, "MILHO", "ERVILHA")) | (only(b, "ERVILHA", "MILHO") & only(a, "MILHO", "ERVILHA"))
     return (mixed(a) != mixed(b)) | crossed
 
 
 def coconut(a: Column, b: Column) -> Column:
-    flakes = _in(a, "COCO") & _in(b, "COCO") & (_has(a, "FLOCOS", "FLOCOCO") != _has(b, "FLOCOS", "FLOCOCO"))
-    sugar = (_in(a, "COCO RAL") | _in(b, "COCO RAL")) & (_has(a, "SEMACUCAR") != _has(b, "SEMACUCAR"))
-    return flakes | sugar
+    return (_both(a, b, "COCO") & _one(a, b, "flakes")) | (_either(a, b, "COCO RAL") & _one(a, b, "SEMACUCAR"))
 
 
 def tomato_extract(a: Column, b: Column) -> Column:
-    package = lambda x: F.when(_has(x, "SACHE", "SACHET", "POUCH", "SC"), F.lit("S")).when(_has(x, "POTE", "PT"), F.lit("P")).otherwise(F.lit(""))
-    kind = lambda x: F.when(_has(x, "CARNE") & _has(x, "PANELA"), F.lit("C")).when(_has(x, "CEB", "CEBOLA") & _has(x, "ALHO"), F.lit("A")).otherwise(F.lit("T"))
     brands = _apart(_brands_of(a, ("EXTR TOM",)), _brands_of(b, ("EXTR TOM",)))
-    return _in(a, "EXTR TOM") & _in(b, "EXTR TOM") & (brands | _apart(a["measures"], b["measures"]) | (package(a) != package(b)) | (kind(a) != kind(b)))
+    return _both(a, b, "EXTR TOM") & (_differ(a, b, "extract package") | _differ(a, b, "extract kind") | _apart(a["measures"], b["measures"]) | brands)
 
 
 def _same_brand(a: Column, b: Column, *categories: str) -> Column:
@@ -312,79 +255,68 @@ def _same_brand(a: Column, b: Column, *categories: str) -> Column:
 
 
 def ketchup(a: Column, b: Column) -> Column:
-    hot = lambda x: _has(x, "PICANTE", "PIMENTA", "APIMENTADO")
-    return _has(a, "KETCHUP") & _has(b, "KETCHUP") & (_same_brand(a, b, "KETCHUP") | (hot(a) != hot(b)))
+    return _both(a, b, "KETCHUP") & (_one(a, b, "hot") | _same_brand(a, b, "KETCHUP"))
 
 
 def mayonnaise_lime(a: Column, b: Column) -> Column:
-    return _has(a, "MAIONESE", "MAION") & _has(b, "MAIONESE", "MAION") & (_has(a, "LIMAO") != _has(b, "LIMAO"))
+    return _both(a, b, "mayonnaise") & _one(a, b, "LIMAO")
 
 
 def sauce(a: Column, b: Column) -> Column:
-    is_sauce = lambda x: _has(x, "MOLHO") | _in(x, "MOL TOM")
-
-    def kind(x: Column) -> Column:
-        return F.when(_has(x, "BOLONHESA", "BOLONHES"), F.lit("B")).when(_has(x, "PIZZA"), F.lit("Z")).when(_has(x, "MANJERICAO"), F.lit("M")).when(_has(x, "PARMEGIANA", "PARM"), F.lit("P")).otherwise(F.lit("T"))
-
-    return is_sauce(a) & is_sauce(b) & (_same_brand(a, b, "MOLHO", "MOL TOM") | (kind(a) != kind(b)))
+    return _both(a, b, "sauce") & (_differ(a, b, "sauce kind") | _same_brand(a, b, "MOLHO", "MOL TOM"))
 
 
 def canned_fish(a: Column, b: Column) -> Column:
-    x, y = _of(a, "tokens", FISH_VARIANTS), _of(b, "tokens", FISH_VARIANTS)
     brands = _apart(_brands_of(a, ("ATUM", "SARD")), _brands_of(b, ("ATUM", "SARD")))
-    return _has(a, "ATUM", "SARD") & _has(b, "ATUM", "SARD") & (brands | _apart(x, y) | (_some(x) != _some(y)))
+    return _both(a, b, "fish") & (_clash(a, b, "fish") | ((held(a, "fish") != 0) != (held(b, "fish") != 0)) | brands)
 
 
 def stock_cube(a: Column, b: Column) -> Column:
     """Sets of flavours that differ, even if they share one."""
-    mine = lambda x: _of(x, "letters", STOCK_FLAVOURS)
-    stock = lambda x: F.array_contains(x["letters"], "CALDO") | (_some(_of(x, "letters", STOCK_BRANDS)) & _some(mine(x)))
-    return stock(a) & stock(b) & _some(mine(a)) & _some(mine(b)) & (F.array_sort(mine(a)) != F.array_sort(mine(b)))
+    return (held(a, "stock") != 0) & (held(b, "stock") != 0) & _differ(a, b, "stock")
 
 
 def unknown_brand(a: Column, b: Column) -> Column:
     """The first name's brand is known in its category; the second has another of that category, or none."""
 
     def clash(c: Column) -> Column:
-        x, y = _of_category(a, c), _of_category(b, c)
-        return _some(x) & (~_some(y) | _some(F.array_except(y, x)) | (F.size(F.array_distinct(x)) > 1) & _some(y))
+        x, y = _brands(a, c), _brands(b, c)
+        return y.isNull() | _some(F.array_except(y, x)) | (F.size(x) > 1)
 
     return F.exists(a["inside"], clash)
 
 
 @_either_way
 def kerosene(a: Column, b: Column) -> Column:
-    return _in(a, "QUEROSENE") & _in(b, "DESINF")
+    return yes(a, "QUEROSENE") & yes(b, "DESINF")
 
 
 def starch(a: Column, b: Column) -> Column:
-    return _has(a, "AMIDO") != _has(b, "AMIDO")
+    return _one(a, b, "AMIDO")
 
 
 def wine_colour(a: Column, b: Column) -> Column:
-    wine = lambda x: _in(x, "VIN ") | x["name"].startswith("VIN")
-    return wine(a) & wine(b) & _apart(_of(a, "tokens", WINE_COLOURS), _of(b, "tokens", WINE_COLOURS))
+    return _clash(a, b, "wine")
 
 
 def shampoo_kit(a: Column, b: Column) -> Column:
-    return (_in(a, "SH ", "COND ") | _in(b, "SH ", "COND ")) & (_in(a, "+COND", "SH COND") != _in(b, "+COND", "SH COND"))
+    return _either(a, b, "shampoo") & _one(a, b, "kit")
 
 
 def gum_pot(a: Column, b: Column) -> Column:
-    return _in(a, "TRIDENT") & _in(b, "TRIDENT") & (_has(a, "POTE") != _has(b, "POTE"))
+    return _both(a, b, "TRIDENT") & _one(a, b, "POTE")
 
 
 def razor_line(a: Column, b: Column) -> Column:
-    return _in(a, "APAR", "BARB") & _in(b, "APAR", "BARB") & _apart(_of(a, "tokens", RAZOR_LINES), _of(b, "tokens", RAZOR_LINES))
+    return _clash(a, b, "razor")
 
 
 def fish_cut(a: Column, b: Column) -> Column:
-    cut = lambda x: F.coalesce(*[F.when(x["name"].rlike(rf"\b{c}\b"), F.lit(c)) for c in FISH_CUTS])
-    return (_in(a, "ATUM", "SARD") | _in(b, "ATUM", "SARD")) & F.coalesce(_differ(a, b, cut), F.lit(False))
+    return _either(a, b, "fish inside") & _clash(a, b, "cut")
 
 
 def spirit(a: Column, b: Column) -> Column:
-    return _apart(_of(a, "tokens", SPIRITS), _of(b, "tokens", SPIRITS))
+    return _clash(a, b, "spirit")
 
 
 def knowledge(a: Column, b: Column) -> Column:
@@ -403,7 +335,7 @@ def strict_locks(rules: BrandRules) -> dict[str, Lock]:
     """The locks of the first and third tier, by name."""
     own = (pack_size, flavour, olive_oil_line, milk_kind, light_sauce, sachet_or_pot, carton_or_glass, alcohol, deodorant_for, diaper_size, corn_and_peas, starch)
     named = {f.__name__: f for f in (*_SAFE, *_BOTH, *own)}
-    return named | {"weight": lambda a, b: weight(a, b, ("LA ACO",)), "subtype": subtype, "variant_words": variant_words(rules)}
+    return named | {"weight": lambda a, b: weight(a, b, ("LA ACO",)), "subtype": subtype, "variant_words": variant_words}
 
 
 def light_locks(rules: BrandRules) -> dict[str, Lock]:
