@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mercadia.functions.codes import clean_ean, clean_ean_offer, clean_ean_page, clean_ean_photo, unit_ean_of_dun14
-from mercadia.functions.names import BrandRules, name_features, normalise_names
+from mercadia.functions.names import BrandRules, normalise_names
 from mercadia.functions.prices import adjusted, discounted, merge_price, offer_price, offer_prices, page_price, price_text, table_price, typed_price
 from mercadia.functions.text import search_key, sorted_words
 from mercadia.operators import catalogue, fuzzy, matching
@@ -328,12 +328,7 @@ def q_fuzzy_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_locks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many candidate pairs each lock blocks."""
     rules = brand_rules(spark, sf_dir)
-    found = fuzzy.pairs(_quoted(spark, sf_dir), _names(spark, sf_dir)).select("quoted", "name").distinct()
-    names = found.select(F.col("quoted").alias("n")).union(found.select("name")).distinct().withColumn("f", name_features(F.col("n"), rules))
-    both = found.join(names.select(F.col("n").alias("quoted"), F.col("f").alias("a")), "quoted").join(names.select(F.col("n").alias("name"), F.col("f").alias("b")), "name")
-    locks = light_locks(rules) | strict_locks(rules)
-    counts = both.agg(*[F.count_if(F.coalesce(lock(F.col("a"), F.col("b")), F.lit(False))).alias(n) for n, lock in locks.items()])
-    return counts.select(F.explode(F.create_map(*[x for n in locks for x in (F.lit(n), F.col(n))])).alias("lock", "pairs"))
+    return fuzzy.blocked_pairs(_quoted(spark, sf_dir), _names(spark, sf_dir), light_locks(rules) | strict_locks(rules), rules)
 
 
 @query()
