@@ -51,8 +51,11 @@ def match_codes(items: DataFrame, prices: DataFrame) -> DataFrame:
 
     Each distinct code is cleaned and looked up once; a code without digits has no price.
     """
-    found = code_prices(items.select("code").distinct(), prices).withColumnRenamed("code", "__code")
-    joined = items.join(found, F.col("code") == F.col("__code"), "left").drop("__code")
+    found = code_prices(items.select("code").where("code IS NOT NULL").distinct(), prices)
+    found = found.select(F.concat(F.lit("c"), "code").alias("__found"), "ean", "table_price")
+    # rows without a code find nothing: dealt by all that they hold, they don't meet in one task
+    key = F.when(F.col("code").isNull(), F.concat(F.lit("n"), F.xxhash64(*items.columns).cast("string"))).otherwise(F.concat(F.lit("c"), "code"))
+    joined = items.withColumn("__key", key).join(found, F.col("__key") == F.col("__found"), "left").drop("__key", "__found")
     return joined.withColumns({"ean": F.coalesce("ean", F.lit("")), "kind": F.when(F.col("table_price").isNotNull(), F.lit("EAN"))})
 
 
