@@ -69,6 +69,36 @@ def test_jaccard(spark, sf, block, monkeypatch):
     assert kept == {w[0] for w in want if w[0] == w[2]}
 
 
+def test_jaccard_repeated_grams(spark):
+    """Sizes are numbers of distinct n-grams: a text and the same text several times over are near-duplicates."""
+    words = [f"w{i}" for i in range(60)]
+    texts = [(1, " ".join(words)), (2, " ".join(words * 2)), (3, " ".join(words * 5)), (4, " ".join(words[:30]))]
+    got = jaccard_join.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).select("doc_id", "class_id", "component_id", "n_links").collect()
+    assert sorted(map(tuple, got)) == brute(texts) == [(1, 1, 1, 2), (2, 2, 1, 2), (3, 3, 1, 2), (4, 4, 4, 0)]
+
+
+@pytest.mark.parametrize("recall, block, sample", [(0.1, 256, 1 << 14), (0.1, 3, 40), (0.9, 3, 1 << 14)])
+def test_jaccard_missed_by_bands(spark, recall, block, sample, monkeypatch):
+    """One band, or a few, miss most pairs near the threshold; the links are the same as by brute force."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "SAMPLE", sample)
+    rng = np.random.default_rng(8)
+    texts = []
+    for g in range(25):
+        base = [f"g{g}w{i}" for i in range(int(rng.integers(5, 120)))]
+        for _ in range(int(rng.integers(1, 14))):
+            at = int(rng.integers(0, 1 + len(base) // 6))
+            # a line that every third text holds, and words that differ
+            own = base[at:] if rng.random() < 0.5 else [w if rng.random() > 0.02 else f"x{rng.integers(10**9)}" for w in base]
+            texts.append((len(texts), " ".join(own + (["a", "very", "common", "line", "of", "words"] if rng.random() < 0.3 else []))))
+    texts += [(1000, texts[0][1]), (1001, texts[0][1]), (1002, None), (1003, "one two")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = jaccard_join.near_duplicates(docs, recall=recall).select("doc_id", "class_id", "component_id", "n_links").collect()
+    want = brute(texts)
+    assert sorted(map(tuple, got)) == want
+    assert sum(w[3] for w in want) > 200
+
+
 def test_jaccard_cases(spark):
     docs = documents(spark)
     got = {(r.doc_id, r.n_links, r.component_id) for r in jaccard_join.near_duplicates(docs).collect()}
