@@ -15,12 +15,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercadia.llm._common import plainly, row_key, stored, table
+from mercadia.llm._common import arrow_rows, plainly, row_key, stored, table
 from mercadia.llm.decontamination import decontaminate
 from mercadia.llm.jaccard_join import keep_one
 from mercadia.llm.mixing import mix
 from mercadia.llm.secrets import redact
-from mercadia.llm.toxicity import fit, score
+from mercadia.llm.toxicity import ROWS_AT_ONCE, fit, score
 
 #: What the stages know of a document. Other columns pass through them under plain names.
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
@@ -32,7 +32,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     def keep(rows: DataFrame) -> DataFrame:
         scored = score(rows, model, *[c for c in rows.columns if c != "text"], with_text=True, name="__m_score")
-        return scored.where("__m_score < 0.5").select(*rows.columns)
+        # written here: few rows at a time go to Python, and the later stages' executors don't hold the model
+        with arrow_rows(spark, ROWS_AT_ONCE):
+            kept = stored(scored.where("__m_score < 0.5").select(*rows.columns), "ordinary")
+        model.unship()
+        return kept
 
     return plainly(docs, DOCUMENT, keep)
 

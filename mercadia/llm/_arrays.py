@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,16 @@ def low_words(text: bytes) -> list[bytes]:
     return text.translate(LOWER).split()
 
 
+def frugal(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """task, after which Arrow's memory that nothing uses goes back: Spark keeps its workers, and they would keep that for the tasks to come."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
 class WordNumbers(dict):
     """64-bit hashes of words, held for up to `limit` words."""
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mercadia.llm._arrays import WordNumbers, forest, grams, group_starts, low_words, mixed, raw_texts, whole_groups
+from mercadia.llm._arrays import WordNumbers, forest, frugal, grams, group_starts, low_words, mixed, raw_texts, whole_groups
 from mercadia.llm._common import arrow_rows, checked_broadcast, stored
 from mercadia.llm.components import components
 
@@ -54,6 +54,8 @@ COLUMNS = 4096
 SAMPLE = 1 << 14
 FREQUENT = 3
 TOLD = 200_000
+#: Texts of the sample whose n-grams one task counts.
+SAMPLE_AT_ONCE = 256
 #: Pairs of a component to one of its links, up to which all its pairs are met.
 PAIRS_A_LINK = 16
 
@@ -102,7 +104,8 @@ def frequent_grams(docs: DataFrame, n: int = N) -> tuple[np.ndarray, np.ndarray]
 
     rows = docs.count()
     some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < math.ceil(1_000_000 * SAMPLE / max(rows, 1))) if rows > SAMPLE else docs.select("text")
-    counts = some.distinct().mapInArrow(task, "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT)
+    # dealt over so many tasks that none counts the n-grams of more than a few hundred texts
+    counts = some.distinct().repartition(math.ceil(SAMPLE / SAMPLE_AT_ONCE)).mapInArrow(frugal(task), "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT)
     told = counts.orderBy(F.desc("n"), "gram").limit(TOLD).toArrow()
     hashes, n_texts = told.column("gram").to_numpy().view(np.uint64), told.column("n").to_numpy()
     order = np.argsort(hashes)
@@ -154,7 +157,7 @@ def signatures(docs: DataFrame, n: int = N, bands: int | None = None, rows: int
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(hashes, pa.binary()), parities, prefix], names=["doc_id", "tid", "grams", "bands", "parities", "prefix"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("tid"), "text")
-    return slim.mapInArrow(task, "doc_id long, tid binary, grams long, bands binary, parities binary, prefix array<long>")
+    return slim.mapInArrow(frugal(task), "doc_id long, tid binary, grams long, bands binary, parities binary, prefix array<long>")
 
 
 def _pairs(starts: np.ndarray, side: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -285,7 +288,7 @@ def _class_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, n: int)
     # few of them don't make all texts travel
     wanted = checked_broadcast(stored(wanted.join(classes.select("tid", F.col("doc_id").alias("first_id")), "tid").withColumnRenamed("tid", "w_tid"), "wanted"), WANTED_BYTES)
     texts = texts.join(wanted, (F.col("tid") == F.col("w_tid")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).dropDuplicates(["tid"])
-    return texts.select("tid", "text").mapInArrow(whole, "tid binary, set binary")
+    return texts.select("tid", "text").mapInArrow(frugal(whole), "tid binary, set binary")
 
 
 def link_classes(classes: DataFrame, docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bands: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -303,7 +306,7 @@ def link_classes(classes: DataFrame, docs: DataFrame, n: int = N, threshold: flo
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(np.tile(np.arange(bands, dtype=np.int32), len(h))), pa.array(h.ravel())], names=["tid", "band", "bucket"])
 
     some = classes.where("grams > 0")
-    met = some.select("tid", "copies", "grams", "bands").mapInArrow(explode, "tid binary, band int, bucket long")
+    met = some.select("tid", "copies", "grams", "bands").mapInArrow(frugal(explode), "tid binary, band int, bucket long")
     # buckets of several classes, and into how many blocks each is cut
     full = stored(met.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "buckets")
     members = met.join(full, "bucket").withColumn("block", F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int"))
@@ -323,7 +326,7 @@ def link_classes(classes: DataFrame, docs: DataFrame, n: int = N, threshold: flo
             yield from took.to_batches()
 
     with arrow_rows(docs.sparkSession, ROWS_AT_ONCE):
-        needed = stored(_by_task(dealt.select("tid", "band", "task", "side", "grams", "bands")).mapInArrow(need, "tid binary, band int, task long, side int"), "needed")
+        needed = stored(_by_task(dealt.select("tid", "band", "task", "side", "grams", "bands")).mapInArrow(frugal(need), "tid binary, band int, task long, side int"), "needed")
 
     sets = _class_sets(needed.select("tid").distinct(), classes, docs, n).join(classes.select("tid", "copies", "bands"), "tid")
 
@@ -354,7 +357,7 @@ def link_classes(classes: DataFrame, docs: DataFrame, n: int = N, threshold: flo
 
     joined = needed.join(sets, "tid").select("tid", "band", "task", "side", "set", "copies", "bands")
     with arrow_rows(docs.sparkSession, ROWS_AT_ONCE):
-        found = stored(_by_task(joined).mapInArrow(verify, "a binary, b binary, links long, classes long"), "links")
+        found = stored(_by_task(joined).mapInArrow(frugal(verify), "a binary, b binary, links long, classes long"), "links")
     return found.groupBy(F.col("a").alias("tid")).agg(F.sum("links").alias("links"), F.sum("classes").alias("classes")), found.where("a <> b").select("a", "b")
 
 
@@ -393,7 +396,7 @@ def missed_links(classes: DataFrame, rows: DataFrame, docs: DataFrame, links: Da
 
     kept = "tid binary, part long, place int, grams long, task long, side int"
     columns = ["tid", "part", "place", "grams", "task", "side"]
-    met = stored(_by_task(dealt.select(columns)).mapInArrow(may, kept), "members")
+    met = stored(_by_task(dealt.select(columns)).mapInArrow(frugal(may), kept), "members")
 
     def need(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "task", ROWS_AT_ONCE):
@@ -409,7 +412,7 @@ def missed_links(classes: DataFrame, rows: DataFrame, docs: DataFrame, links: Da
             yield from t.select(columns).filter(pa.array(wanted)).to_batches()
 
     with arrow_rows(docs.sparkSession, ROWS_AT_ONCE):
-        needed = stored(_by_task(met.join(classes.select("tid", "bands", "parities"), "tid").select(*columns, "bands", "parities")).mapInArrow(need, kept), "needed")
+        needed = stored(_by_task(met.join(classes.select("tid", "bands", "parities"), "tid").select(*columns, "bands", "parities")).mapInArrow(frugal(need), kept), "needed")
     sets = _class_sets(needed.select("tid").distinct(), classes, docs, n).join(classes.select("tid", "bands"), "tid")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,7 +433,7 @@ def missed_links(classes: DataFrame, rows: DataFrame, docs: DataFrame, links: Da
 
     joined = needed.join(sets, "tid").select(*columns, "set", "bands")
     with arrow_rows(docs.sparkSession, ROWS_AT_ONCE):
-        found = stored(_by_task(joined).mapInArrow(verify, "a binary, b binary"), "missed")
+        found = stored(_by_task(joined).mapInArrow(frugal(verify), "a binary, b binary"), "missed")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

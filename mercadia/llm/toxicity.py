@@ -41,8 +41,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mercadia.llm._arrays import LOWER, group_starts, mixed, raw_texts
-from mercadia.llm._common import checked_broadcast, row_key, stored
+from mercadia.llm._arrays import LOWER, frugal, group_starts, mixed, raw_texts
+from mercadia.llm._common import arrow_rows, checked_broadcast, row_key, stored
 
 #: Characters of the longest n-gram, and of the longest whose counts the classes share.
 ORDER, SHARED = 6, 3
@@ -56,6 +56,8 @@ SHIPPED = 8_000_000
 CALIBRATION_ROWS = 40_000
 #: N-grams that a counting task holds at once, and characters that a scoring task reads at once.
 HELD, READ = 1_000_000, 1 << 18
+#: Rows with texts that a task of Python gets at a time.
+ROWS_AT_ONCE = 1024
 _PAD = ORDER - 1
 #: An odd base of the polynomials that n-grams are hashed by.
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -96,7 +98,10 @@ def count_grams(train: DataFrame) -> DataFrame:
         held, rows = [], 0
 
         def merged():
-            h, grams, counts = (np.concatenate(z) for z in zip(*held))
+            columns = [list(z) for z in zip(*held)]
+            held.clear()
+            # one column after another, so that only one is there twice
+            h, grams, counts = (np.concatenate(columns.pop(0)) for _ in range(3))
             _, first, at = np.unique(h, return_index=True, return_inverse=True)
             return h[first], grams[first], np.stack([np.bincount(at, counts[:, c], len(first)) for c in (0, 1)], 1).astype(np.int64)
 
@@ -123,12 +128,13 @@ def count_grams(train: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    return train.select("text", "toxic").mapInArrow(task, "gram string, toxic long, ordinary long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    return train.select("text", "toxic").mapInArrow(frugal(task), "gram string, toxic long, ordinary long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
 def weights(train: DataFrame) -> DataFrame:
     """(gram, own, next): an n-gram's weights for its last character and for the character that follows it."""
-    counts = {ORDER: stored(count_grams(train), "grams").withColumn("both", F.lit(0).cast("long"))}
+    with arrow_rows(train.sparkSession, ROWS_AT_ONCE):
+        counts = {ORDER: stored(count_grams(train), "grams").withColumn("both", F.lit(0).cast("long"))}
     for n in range(ORDER - 1, 0, -1):
         # how many different characters stand before an n-gram, in either class and in both together
         more = counts[n + 1].groupBy(F.substring("gram", 2, n).alias("gram"))
@@ -164,14 +170,15 @@ class Weights:
         self.bits = max(8, int(2 * len(hashes)).bit_length())
         self.key = np.zeros(1 << self.bits, np.uint32)
         self.own, self.next = np.zeros(1 << self.bits, np.float32), np.zeros(1 << self.bits, np.float32)
-        at, left = self._slot(hashes), np.arange(len(hashes))
+        at, left, placed = self._slot(hashes), np.arange(len(hashes)), np.zeros(len(hashes), bool)
         while len(left):
             free = left[self.key[at[left]] == 0]
             _, first = np.unique(at[free], return_index=True)
             won = free[first]
             self.key[at[won]] = self._sign(hashes[won])
             self.own[at[won]], self.next[at[won]] = own[won], after[won]
-            left = np.setdiff1d(left, won, assume_unique=True)
+            placed[won] = True
+            left = left[~placed[left]]
             at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
 
     def _slot(self, h: np.ndarray) -> np.ndarray:
@@ -220,6 +227,11 @@ class Model:
     shipped: object | None
     numbers: tuple[float, float, float]
 
+    def unship(self) -> None:
+        """Frees the shipped weights on the executors; who scores again gets them again."""
+        if self.shipped is not None:
+            self.shipped.unpersist()
+
 
 def ship(table: DataFrame, most: int = SHIPPED) -> Model:
     """The model of a table of weights; its numbers are still to be fitted."""
@@ -238,6 +250,8 @@ def ship(table: DataFrame, most: int = SHIPPED) -> Model:
 
     got = table.select("gram", "own", "next").mapInArrow(task, "h long, own float, next float").toArrow()
     arrays = Weights(got["h"].to_numpy().view(np.uint64), got["own"].to_numpy(), got["next"].to_numpy())
+    del got
+    pa.default_memory_pool().release_unused()
     return Model(table, table.sparkSession.sparkContext.broadcast(arrays), (0.0, 0.0, 0.0))
 
 
@@ -285,7 +299,7 @@ def _by_shipping(docs: DataFrame, model: Model, keep: tuple[str, ...], with_text
             numbers = [pa.array(np.concatenate(z) if z else np.zeros(0)) for z in (mean, top)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep) + with_text], *numbers], names=[*keep, *["text"] * with_text, "__m_mean", "__m_top"])
 
-    return docs.select(*keep, "text").mapInArrow(task, schema)
+    return docs.select(*keep, "text").mapInArrow(frugal(task), schema)
 
 
 def _by_joining(docs: DataFrame, model: Model, keep: tuple[str, ...], with_text: bool) -> DataFrame:
@@ -347,7 +361,8 @@ def fit(docs: DataFrame, labels: DataFrame, shipped: int = SHIPPED) -> Model:
     marks = checked_broadcast(stored(marks.withColumn("fold", fold).where("fold <> 0"), "labels"))
     train = docs.select("doc_id", "text").join(marks, "doc_id")
     model = ship(weights(train.where("fold <> 4")), shipped)
-    rows = measure(train.where("fold = 4"), model, "doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "__m_mean").limit(CALIBRATION_ROWS).toArrow()
+    with arrow_rows(docs.sparkSession, ROWS_AT_ONCE):
+        rows = measure(train.where("fold = 4"), model, "doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "__m_mean").limit(CALIBRATION_ROWS).toArrow()
     y, mean, top = (rows[c].to_numpy().astype(float) for c in ("toxic", "__m_mean", "__m_top"))
     if len(set(y)) < 2:
         share = float(y.mean()) if len(y) else 0.0

@@ -72,3 +72,24 @@ def test_near_duplicates_and_mix_within_the_pipeline(spark, sf):
         totals[r.source][2] += words[r.doc_id]
     longest = max(words.values())
     assert all(abs(taken - target) <= 2 * longest and target <= 2 * size + 1e-6 for taken, target, size in totals.values())
+
+
+def test_toxicity_gives_python_few_rows_and_leaves_no_model(spark, sf, monkeypatch):
+    """A batch of texts is held by the JVM and by Python at once, and what Python workers and executors hold stays for the next stages."""
+    docs = table(spark, sf, "documents").coalesce(1)
+    most, freed = 64, []
+
+    def small(batches):
+        for batch in batches:
+            assert batch.num_rows <= most
+            yield batch
+
+    def score(rows, model, *keep, **how):
+        rows = rows.mapInArrow(small, rows.schema)
+        monkeypatch.setattr(model, "unship", lambda f=model.unship: freed.append(f()))
+        return toxicity.score(rows, model, *keep, **how)
+
+    monkeypatch.setattr(P, "score", score)
+    monkeypatch.setattr(P, "ROWS_AT_ONCE", most)
+    kept = P.drop_toxic(spark, docs, sf)
+    assert docs.count() > most and 0 < kept.count() < docs.count() and freed == [None]
